@@ -62,4 +62,4 @@ def uniform(seed: Column | str | int, *parts: Column) -> Column:
 
 def stale(now: Column, heartbeat: Column, seconds: float) -> Column:
     """True when the last heartbeat is more than ``seconds`` ago; times as timestamps."""
-    return (now.cast("double") - heartbeat.cast("double")) > seconds
+    return (now.cast("timestamp").cast("double") - heartbeat.cast("timestamp").cast("double")) > seconds

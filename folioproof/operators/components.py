@@ -25,10 +25,10 @@ def lineage_edges(sources: DataFrame) -> DataFrame:
         "item", F.concat_ws("=", "e.kind", "e.value").alias("key")).distinct()
 
 
-def _to_smallest(edges: DataFrame, hot_rows: int | None) -> DataFrame:
+def _to_smallest(edges: DataFrame, hot_rows: int | None, total: int) -> DataFrame:
     """(u, v) with the smallest v of u beside each row; hot u stay spread out."""
     best = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
-    return lookup(edges, best, "u", "_rows", hot_rows)
+    return lookup(edges, best, "u", "_rows", hot_rows, total)
 
 
 def components(members: DataFrame, item: str = "item", key: str = "key",
@@ -43,14 +43,15 @@ def components(members: DataFrame, item: str = "item", key: str = "key",
     """
     pairs = members.select(F.col(item).alias("u"), F.col(key).alias("k"))
     heads = pairs.groupBy("k").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_rows"))
-    edges = keep(lookup(pairs, heads, "k", "_rows", hot_rows).where("u <> v").select("u", "v").distinct())
+    total = members.count()
+    edges = keep(lookup(pairs, heads, "k", "_rows", hot_rows, total).where("u <> v").select("u", "v").distinct())
     mark = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (_to_smallest(both, hot_rows).where("v > u")
+        large = (_to_smallest(both, hot_rows, 2 * total).where("v > u")
                  .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         downward = large.where("u <> v")
-        small = _to_smallest(downward, hot_rows)
+        small = _to_smallest(downward, hot_rows, 2 * total)
         edges = keep(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                      .unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -15,6 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import hamming
+from ..plans.session import keep
 from ..plans.skew import lookup
 from .components import lineage_tokens
 
@@ -25,7 +26,7 @@ def exact_links(items: DataFrame, item: str, key: str, reason: str = "exact",
                 hot_rows: int | None = None) -> DataFrame:
     """(a, b, reason) with a the smallest id sharing ``key``."""
     groups = items.groupBy(key).agg(F.min(item).alias("a"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    return (lookup(items.select(key, F.col(item).alias("b")), groups, key, "_rows", hot_rows)
+    return (lookup(items.select(key, F.col(item).alias("b")), groups, key, "_rows", hot_rows, items.count())
             .where("a <> b").select("a", "b", F.lit(reason).alias("reason")))
 
 
@@ -87,8 +88,7 @@ def near_code_pairs(codes: DataFrame, code: str, k: int = NEAR_BITS, bits: int =
 
     keyed = codes.select(F.col(code).alias("code")).select("code", F.explode(F.array(*[
         F.struct(F.lit(n).alias("choice"), key(c).alias("value")) for n, c in enumerate(choices)])).alias("_k")
-    ).select("code", "_k.choice", "_k.value")
-    sizes = keyed.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ).select("code", "_k.choice", "_k.value", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"))
 
     # The bits not in a choice are cut into k+1 bands: within a bucket the k differing
     # bits all lie there, so at least one band agrees.
@@ -98,14 +98,16 @@ def near_code_pairs(codes: DataFrame, code: str, k: int = NEAR_BITS, bits: int =
     signed = [[m - (1 << 64) if m >= 1 << 63 else m for m in masks[n]] for n in range(len(choices))]
     bands = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in signed])
 
-    sized = keyed.join(sizes, ["choice", "value"])
-    plain = sized.where(F.col("n") <= hot_bucket).select(
-        "code", "choice", "value", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"))
-    split = (sized.where(F.col("n") > hot_bucket)
-             .withColumn("_m", F.element_at(bands, F.col("choice") + 1))
-             .select("code", "choice", "value", F.posexplode("_m").alias("band", "mask"))
-             .select("code", "choice", "value", "band", F.col("code").bitwiseAND(F.col("mask")).alias("part")))
-    rows = plain.unionByName(split)
+    # At most (rows / hot_bucket) buckets are hot, which bounds their broadcast.
+    hot = keep(keyed.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket)
+               .select("choice", "value"))
+    rows = keyed
+    if not hot.isEmpty():
+        split = (keyed.drop("band", "part").join(F.broadcast(hot), ["choice", "value"])
+                 .withColumn("_m", F.element_at(bands, F.col("choice") + 1))
+                 .select("code", "choice", "value", F.posexplode("_m").alias("band", "mask"))
+                 .select("code", "choice", "value", "band", F.col("code").bitwiseAND(F.col("mask")).alias("part")))
+        rows = keyed.join(F.broadcast(hot), ["choice", "value"], "left_anti").select(*split.columns).unionByName(split)
     left = rows.withColumnRenamed("code", "left")
     right = rows.withColumnRenamed("code", "right")
     x = F.col("left").bitwiseXOR(F.col("right"))
@@ -129,8 +131,9 @@ def near_links(items: DataFrame, item: str, code: str, k: int = NEAR_BITS, bits:
                hot_rows: int | None = None) -> DataFrame:
     """(a, b, distance, reason): equal codes as links to their smallest id, near codes
     as links between those smallest ids."""
-    groups = items.groupBy(code).agg(F.min(item).alias("a"), F.count(F.lit(1)).alias("_rows"))
-    same = (lookup(items.select(code, F.col(item).alias("b")), groups.where("_rows > 1"), code, "_rows", hot_rows)
+    groups = keep(items.groupBy(code).agg(F.min(item).alias("a"), F.count(F.lit(1)).alias("_rows")))
+    total = groups.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
+    same = (lookup(items.select(code, F.col(item).alias("b")), groups.where("_rows > 1"), code, "_rows", hot_rows, total)
             .where("a <> b").select("a", "b", F.lit(0).alias("distance")))
     heads = groups.select(F.col(code).alias("code"), "a")
     near = near_code_pairs(heads, "code", k, bits, blocks, hot_bucket)
@@ -241,7 +244,7 @@ def cross_split_lineage(sources: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"), F.collect_set("split").alias("splits")).where("size(splits) > 1")
     keys = keys.withColumn("key", F.concat_ws("\u001f", "kind", "value"))
     members = edges.withColumn("key", F.concat_ws("\u001f", "kind", "value")).select("id", "split", "key")
-    return lookup(members, keys, "key", "_rows").select(
+    return lookup(members, keys, "key", "_rows", total=members.count()).select(
         "id", "split", "kind", "value", F.array_join(F.array_sort("splits"), ",").alias("splits"))
 
 

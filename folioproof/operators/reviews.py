@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
+from ..functions.scalar import stale
 from ..plans.ordered import ordered, running, scan
 
 SCOPES = {"train-pending": ("train", False), "train-all": ("train", None), "accepted-train": ("train", True),
@@ -117,8 +118,7 @@ def run_rollup(runs: DataFrame, attempts: DataFrame, results: DataFrame, now: Co
     by_state = attempts.groupBy("run").agg(*[
         F.count_if(F.col("state") == s).alias(f"attempts_{s}") for s in states])
     done = results.groupBy("run").agg(F.count(F.lit(1)).alias("completed"))
-    quiet = F.col("state").isin("starting", "running") & (
-        (now.cast("double") - F.col("heartbeat").cast("double")) > stale_after)
+    quiet = F.col("state").isin("starting", "running") & stale(now, F.col("heartbeat"), stale_after)
     return (runs.join(by_state, "run", "left").join(done, "run", "left")
             .fillna(0, ["completed", *[f"attempts_{s}" for s in states]])
             .withColumn("state", F.when(quiet, "heartbeat-stale-resume-required").otherwise(F.col("state"))))

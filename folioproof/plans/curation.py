@@ -31,10 +31,10 @@ view("act", """SELECT s.id, s.source, o.split FROM {smp} s JOIN {src} o ON o.id
   WHERE s.source NOT IN (SELECT source FROM {excl})""")
 view("sided", """SELECT p.*, x.source AS source_a, y.source AS source_b, x.split AS split_a, y.split AS split_b
   FROM {pair} p JOIN {act} x ON x.id = p.a JOIN {act} y ON y.id = p.b""")
-view("log", """SELECT event_id AS id, user_id AS sample, ts AS at, event_type AS content, CAST(event_id % 7 AS VARCHAR) AS reviewer,
+view("log", """SELECT event_id AS id, user_id AS sample, ts AS tm, event_type AS content, CAST(event_id % 7 AS VARCHAR) AS reviewer,
   event_type <> 'error' AS human, value AS seconds FROM events""")
-view("rev", """SELECT *, sum(changed) OVER (PARTITION BY sample ORDER BY at, id) AS revision FROM (
-  SELECT *, CASE WHEN content IS DISTINCT FROM lag(content) OVER (PARTITION BY sample ORDER BY at, id) THEN 1 ELSE 0 END AS changed
+view("rev", """SELECT *, sum(changed) OVER (PARTITION BY sample ORDER BY tm, id) AS revision FROM (
+  SELECT *, CASE WHEN content IS DISTINCT FROM lag(content) OVER (PARTITION BY sample ORDER BY tm, id) THEN 1 ELSE 0 END AS changed
   FROM {log})""")
 
 
@@ -90,14 +90,14 @@ def hamming_pairs(t: Tables) -> DataFrame:
     return P.near_links(V.codes(t.embeddings), "id", "phash")
 
 
-view("found", """SELECT a, b, reason, 0 AS at FROM {star}
+view("found", """SELECT a, b, reason, 0 AS tm FROM {star}
   UNION ALL SELECT a, b, 'board-exact', b % 4 FROM {star} WHERE a % 2 = 0
   UNION ALL SELECT a + 1, b + 1, 'perceptual', 0 FROM {star}
   UNION ALL SELECT a + 1, b + 1, 'board-perceptual', b % 3 FROM {star} WHERE b % 2 = 0
   UNION ALL SELECT a + 1, b + 1, 'board-exact', b % 5 FROM {star} WHERE b % 2 = 0""")
 
 
-@query("""SELECT a, b, arg_max(reason, CASE WHEN reason = 'exact' THEN 2000 WHEN reason LIKE 'board-%' THEN 1000 + 2 * at +
+@query("""SELECT a, b, arg_max(reason, CASE WHEN reason = 'exact' THEN 2000 WHEN reason LIKE 'board-%' THEN 1000 + 2 * tm +
   CASE WHEN reason = 'board-exact' THEN 1 ELSE 0 END ELSE 0 END) AS reason FROM found GROUP BY a, b""", "found")
 def pair_precedence(t: Tables) -> DataFrame:
     star = P.exact_links(t.samples(), "id", "sha")
@@ -270,7 +270,7 @@ view("page", """SELECT user_id AS id, 'u' || (user_id % 20) AS source, user_id A
   FROM (SELECT DISTINCT user_id FROM events)""")
 view("gone", "SELECT DISTINCT source FROM {page} WHERE id % 20 = 3")
 view("held", """SELECT event_id AS deferral, user_id AS sample, event_id % 4 AS revision, event_type AS reason FROM events WHERE event_type IN ('error', 'view')""")
-view("res", """SELECT event_id AS result, user_id AS sample, event_id % 4 AS revision, 'h' || (event_id % 5) AS image_sha, event_id % 11 AS run, ts AS at
+view("res", """SELECT event_id AS result, user_id AS sample, event_id % 4 AS revision, 'h' || (event_id % 5) AS image_sha, event_id % 11 AS run, ts AS tm
   FROM events WHERE event_type = 'purchase'""")
 view("drf", "SELECT DISTINCT user_id AS sample, event_id % 4 AS revision, 'boards' AS kind FROM events WHERE event_type = 'signup'")
 
@@ -373,7 +373,7 @@ def run_rollup(t: Tables) -> DataFrame:
 
 @query("""SELECT event_id % 40 AS run, epoch_us(min(ts)) AS created_us FROM events GROUP BY 1 ORDER BY min(ts) DESC LIMIT 20""")
 def recent_runs(t: Tables) -> DataFrame:
-    return rollup(t).orderBy(F.desc("created")).limit(20).select("run", F.unix_micros("created").alias("created_us"))
+    return rollup(t).orderBy(F.desc("created")).limit(20).select("run", F.unix_micros(F.col("created").cast("timestamp")).alias("created_us"))
 
 
 @query("""SELECT s.id, s.source, s.page, s.revision, s.sha FROM smp s JOIN src o ON o.id = s.source WHERE s.source NOT IN (SELECT source FROM excl)
@@ -457,9 +457,10 @@ def control_completeness(t: Tables) -> DataFrame:
     return U.control_completeness(t.orders.select(F.col("o_orderkey").alias("id")), t.lineitem.select(F.col("l_orderkey").alias("id")), ["id"])
 
 
-@query("""SELECT board, square, CASE WHEN board % 6 = 5 THEN NULL ELSE coalesce(edit, label) END AS shown, label AS model_label,
-  CASE WHEN board % 6 = 5 THEN 'refused' WHEN edit IS NOT NULL THEN 'corrected' ELSE 'model' END AS state FROM (
-  SELECT vec_id // 8 AS board, CAST(vec_id % 8 AS INT) AS square, 'm' || label AS label, CASE WHEN label < 3 THEN 'h' || (vec_id % 10) END AS edit FROM embeddings)""")
+@query("""SELECT board, square, CASE WHEN moved THEN NULL ELSE coalesce(edit, label) END AS shown, label AS model_label,
+  CASE WHEN moved THEN 'refused' WHEN edit IS NOT NULL THEN 'corrected' ELSE 'model' END AS state FROM (
+  SELECT vec_id // 8 AS board, CAST(vec_id % 8 AS INT) AS square, 'm' || label AS label, CASE WHEN label < 3 THEN 'h' || (vec_id % 10) END AS edit,
+  (vec_id // 8) % 6 = 5 AND bool_or(label < 3) OVER (PARTITION BY vec_id // 8) AS moved FROM embeddings)""")
 def corrected_squares(t: Tables) -> DataFrame:
     board = F.expr("vec_id div 8")
     rows = t.embeddings.select("vec_id", board.alias("board"), (F.col("vec_id") % 8).cast("int").alias("square"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("label"),
