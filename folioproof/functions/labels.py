@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .scalar import let
+
 # The thirteen classes in dataset order; '.' and 'empty' are one class.
 LABELS = [".", "P", "N", "B", "R", "Q", "K", "p", "n", "b", "r", "q", "k"]
 EMPTY_ALIAS = "empty"
@@ -61,20 +63,20 @@ def image_order(probabilities: Column, classes: list[str] | None = None) -> Colu
     classes = classes or KING_FIRST
     take = [classes.index(x) for x in LABELS]
 
-    def square(i: Column) -> Column:
+    def square(p: Column, i: Column) -> Column:
         tile = (7 - F.floor(i / 8)) * 8 + i % 8
-        return F.array(*[F.element_at(probabilities, (tile * 13 + c + 1).cast("int")) for c in take])
+        return F.transform(F.array(*[F.lit(c) for c in take]),
+                           lambda c: F.element_at(p, (tile * 13 + c + 1).cast("int")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), square)
+    return let(probabilities, lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: square(p, i)))
 
 
 def placement(labels: Column, orientation: Column) -> Column:
     """Eight ranks with run-length empties; null while a label or the side is unknown."""
     seen = F.transform(labels, canonical_label)
     turned = F.when(orientation == "black-bottom", F.reverse(seen)).otherwise(seen)
-    text = F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda row: F.array_join(F.slice(turned, (row * 8 + 1).cast("int"), 8), "")), "/")
+    text = let(turned, lambda o: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(7)), lambda row: F.array_join(F.slice(o, (row * 8 + 1).cast("int"), 8), "")), "/"))
     # Runs do not cross '/', so replacing the longest first is exact.
     for n in range(8, 0, -1):
         text = F.replace(text, F.lit("." * n), F.lit(str(n)))
@@ -82,22 +84,16 @@ def placement(labels: Column, orientation: Column) -> Column:
     return F.when(complete & (orientation != "unknown"), text)
 
 
-def softmax(logits: Column, temperature: Column | float = 1.0, classes: int = 13) -> Column:
-    """Numerically stable softmax over an array column, unrolled so it stays in codegen."""
-    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(logits)
-    parts = [F.exp((logits[i] - top) / t) for i in range(classes)]
-    total = sum(parts[1:], parts[0])
-    return F.array(*[p / total for p in parts])
+def softmax(logits: Column, temperature: float = 1.0) -> Column:
+    """Numerically stable softmax of an array column."""
+    def shifted(top: Column) -> Column:
+        return F.transform(logits, lambda x: F.exp((x - top) / float(temperature)))
 
+    def scaled(powers: Column) -> Column:
+        return let(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x),
+                   lambda total: F.transform(powers, lambda p: p / total))
 
-def negative_log_likelihood(logits: Column, truth: Column, temperature: Column | float = 1.0,
-                            classes: int = 13) -> Column:
-    """Cross entropy of one square: ln(sum exp(l/T)) - l[truth]/T."""
-    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(logits)
-    parts = [F.exp((logits[i] - top) / t) for i in range(classes)]
-    return F.log(sum(parts[1:], parts[0])) - (F.element_at(logits, truth.cast("int") + 1) - top) / t
+    return let(F.array_max(logits), lambda top: let(shifted(top), scaled))
 
 
 def best_class(values: Column) -> Column:

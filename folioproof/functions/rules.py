@@ -38,7 +38,7 @@ def source_rules() -> Column:
     c = F.col
     pages = c("pages")
     lineage = [F.coalesce(F.size(c("lineage")[k]) > 0, F.lit(False))
-               & F.forall(c("lineage")[k], is_token) for k in LINEAGE_KINDS]
+               & F.forall(c("lineage")[k], lambda v: is_token(v)) for k in LINEAGE_KINDS]
     provenance = [_text(c(k), 4000) for k in
                   ("revision", "attribution", "edition", "selection_reason", "pretrained_overlap")]
     evidence = [F.length(c("rights")[k]) > 0 for k in ("reviewer", "evidence_url", "license", "exclusions")]
@@ -63,7 +63,7 @@ def source_rules() -> Column:
         ("real", c("real")),
         ("lineage", every(lineage)),
         ("lineage-review", c("lineage_reviewed")),
-        ("conditions", (F.size("conditions") > 0) & F.forall("conditions", is_token)),
+        ("conditions", (F.size("conditions") > 0) & F.forall("conditions", lambda v: is_token(v))),
         ("rights-evidence", every(evidence)),
         ("rights-date", F.try_to_date(c("rights.review_date"), "yyyy-MM-dd").isNotNull()),
         ("rights-hash", is_sha256(c("rights.evidence_sha256"))),

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row.
+
+    An expression used inside a lambda would otherwise be worked out once per element.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def canonical(*columns: Column | str) -> Column:
     """Canonical text of a record: fields in name order, nulls kept."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.labels import LABELS, best_class, negative_log_likelihood, softmax
+from ..functions.labels import LABELS
 
 # Reporting thresholds and the temperature grid.
 CONFIDENCE_STEPS = [0.5, 0.7, 0.9, 0.95, 0.99]
@@ -16,12 +16,23 @@ CONFIDENT = 0.99
 
 
 def predicted(squares: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Add probabilities, pred, confidence, correct and nll."""
-    return (squares.withColumn("probabilities", softmax(F.col("logits"), temperature))
-            .withColumn("confidence", F.array_max("probabilities"))
-            .withColumn("pred", best_class(F.col("probabilities")))
+    """Add probabilities, pred, confidence, correct and nll.
+
+    The largest term of the shifted softmax is exp(0), so the confidence is one over the
+    total: thirteen exponentials per square serve every metric, and the probability array
+    is only built when somebody selects it.
+    """
+    t = float(temperature)
+    shifted = squares.withColumn("_top", F.array_max("logits"))
+    parts = [F.exp((F.col("logits")[i] - F.col("_top")) / t) for i in range(len(LABELS))]
+    summed = shifted.withColumn("_total", sum(parts[1:], parts[0]))
+    return (summed.withColumn("probabilities", F.transform(
+                "logits", lambda x: F.exp((x - F.col("_top")) / t) / F.col("_total")))
+            .withColumn("confidence", 1 / F.col("_total"))
+            .withColumn("pred", (F.array_position("logits", F.col("_top")) - 1).cast("int"))
             .withColumn("correct", F.col("pred") == F.col("truth"))
-            .withColumn("nll", negative_log_likelihood(F.col("logits"), F.col("truth"), temperature)))
+            .withColumn("nll", F.log("_total") - (F.element_at("logits", F.col("truth") + 1) - F.col("_top")) / t)
+            .drop("_top", "_total"))
 
 
 def _domain(df: DataFrame, n: int, *names: str) -> DataFrame:

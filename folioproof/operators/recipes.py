@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..functions.scalar import digest_number
+from ..functions.scalar import digest_number, let
 from ..plans.ordered import running
 
 # Layouts, effects and legal positions of the recipe format.
@@ -51,13 +51,20 @@ def random_labels(seed: Column | str, index: Column, board: int, occupied: Colum
     """
     key = F.concat_ws(":", seed if isinstance(seed, Column) else F.lit(str(seed)), index.cast("string"), F.lit(str(board)))
     bits = F.concat(*[F.sha2(F.concat(key, F.lit(f":{i}")), 256) for i in range(4)])
-    squares = F.sequence(F.lit(0), F.lit(63))
-    ranked = F.transform(F.array_sort(F.transform(squares, lambda s: F.struct(
-        F.substr(bits, s * 4 + 1, F.lit(4)).alias("u"), s.alias("s")))), lambda z: z["s"])
     start = digest_number(seed, index, F.lit(board), F.lit("start")) % len(PIECES)
-    return F.transform(squares, lambda s: F.when(
-        F.array_position(ranked, s) <= occupied,
-        _pick(PIECES, (F.array_position(ranked, s) - 1 + start) % len(PIECES))).otherwise(F.lit(".")))
+    squares = F.sequence(F.lit(0), F.lit(63))
+    pieces = F.array(*[F.lit(p) for p in PIECES])
+
+    def ranked(b: Column) -> Column:
+        return F.transform(F.array_sort(F.transform(squares, lambda s: F.struct(
+            F.substr(b, s * 4 + 1, F.lit(4)).alias("u"), s.alias("s")))), lambda z: z["s"])
+
+    def placed(order: Column, first: Column, most: Column) -> Column:
+        return F.transform(F.transform(squares, lambda s: F.array_position(order, s)), lambda r: F.when(
+            r <= most, F.element_at(pieces, ((r - 1 + first) % len(PIECES) + 1).cast("int"))).otherwise(F.lit(".")))
+
+    return let(bits, lambda b: let(ranked(b), lambda order: let(
+        start, lambda first: let(occupied, lambda most: placed(order, first, most)))))
 
 
 def degradation(seed: Column | str, index: Column) -> Column:
@@ -91,39 +98,46 @@ def recipes(indices: DataFrame, seed: str, sets: list[str] | None = None, index:
         F.when(i % 7 == 0, "black-bottom").otherwise("white-bottom").alias("_side"),
         F.when(i % 6 == 0, 0.024).when(i % 6 == 3, -0.018).otherwise(0.0).alias("_shear"),
         F.when(i % 8 == 5, 1.25).when(i % 8 == 7, -1.25).otherwise(0.0).alias("_turn"))
-    base = base.withColumn("_matrix", perspective(F.col("width"), F.col("height"), i))
     occupied = F.lit(0)
     for kind, n in OCCUPIED.items():
         occupied = F.when(F.col("_position") == kind, n).otherwise(occupied)
-    first = F.when(F.col("_position") == "legal-opening", opening_labels(_div(i, 20))).otherwise(
-        random_labels(seed, i, 0, occupied))
-
-    def board(number: int, frame: tuple[int, int, int], set_at: Column, labels: Column, side: Column,
-              kind: Column) -> Column:
-        x, y, size = frame
-        square = [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
-        moved = F.array(*[F.when((F.col("_shear") != 0) | (F.col("_turn") != 0), G.shear_rotate(
-            G.point(F.lit(px), F.lit(py)), F.col("width"), F.col("height"), F.col("_shear"), F.col("_turn")))
-            .otherwise(G.point(F.lit(px), F.lit(py))) for px, py in square])
+    # Each label array is a column of its own, so no later expression works it out again.
+    base = base.select(
+        "*", perspective(F.col("width"), F.col("height"), i).alias("_matrix"),
+        F.when(F.col("_position") == "legal-opening", opening_labels(_div(i, 20))).otherwise(
+            random_labels(seed, i, 0, occupied)).alias("_first"),
+        F.when(variant >= 2, random_labels(seed, i, 1, F.when(variant == 2, OCCUPIED["sparse"]).otherwise(
+            OCCUPIED["dense"]))).alias("_second"))
+
+    def edge(number: int, part: int) -> Column:
+        out = F.lit(None).cast("int")
+        for v, frames in FRAMES.items():
+            if number < len(frames):
+                out = F.when(variant == v, frames[number][part]).otherwise(out)
+        return out
+
+    def board(number: int, labels: Column, set_at: Column, side: Column, kind: Column) -> Column:
+        x, y, size = (edge(number, part) for part in range(3))
+        width, height, shear, turn = (F.col(c) for c in ("width", "height", "_shear", "_turn"))
+
+        def corner(px: Column, py: Column) -> Column:
+            return F.when((shear != 0) | (turn != 0), G.shear_rotate(G.point(px, py), width, height, shear, turn)).otherwise(
+                G.point(px, py))
+
         matrix = [F.col("_matrix")[k] for k in range(9)]
         parent = F.when(kind == "legal-opening", F.concat(F.lit("opening-"), (_div(i, 20) % 3).cast("string"))).otherwise(
             F.concat(F.lit(f"teaching-{seed}-"), i.cast("string"), F.lit(f"-board-{number}")))
-        shown = F.when(side == "black-bottom", F.reverse(labels)).otherwise(labels)
-        return F.struct(
-            F.lit(f"board-{number}").alias("id"), _pick(sets, set_at % len(sets)).alias("set"), shown.alias("labels"),
+        return let(F.array(corner(x, y), corner(x + size, y), corner(x + size, y + size), corner(x, y + size)), lambda moved: F.struct(
+            F.lit(f"board-{number}").alias("id"), _pick(sets, set_at % len(sets)).alias("set"),
+            F.when(side == "black-bottom", F.reverse(labels)).otherwise(labels).alias("labels"),
             F.when(F.col("_matrix").isNull(), moved).otherwise(F.transform(moved, lambda p: G.project(matrix, p))).alias("corners"),
             F.when(F.col("_matrix").isNotNull(), moved).alias("render_corners"),
-            side.alias("orientation"), kind.alias("position_kind"), parent.alias("parent"))
-
-    own = (_div(i, 3), first, F.col("_side"), F.col("_position"))
-    sparse = random_labels(seed, i, 1, F.lit(OCCUPIED["sparse"]))
-    dense = random_labels(seed, i, 1, F.lit(OCCUPIED["dense"]))
-    drawn = (F.when(variant == 0, F.array(board(0, FRAMES[0][0], *own)))
-             .when(variant == 1, F.array(board(0, FRAMES[1][0], *own)))
-             .when(variant == 2, F.array(board(0, FRAMES[2][0], *own),
-                                         board(1, FRAMES[2][1], i + 1, sparse, F.lit("white-bottom"), F.lit("sparse"))))
-             .otherwise(F.array(board(0, FRAMES[3][0], *own),
-                                board(1, FRAMES[3][1], i + 2, dense, F.lit("black-bottom"), F.lit("dense")))))
+            side.alias("orientation"), kind.alias("position_kind"), parent.alias("parent")))
+
+    one = board(0, F.col("_first"), _div(i, 3), F.col("_side"), F.col("_position"))
+    two = board(1, F.col("_second"), i + variant - 1, F.when(variant == 2, "white-bottom").otherwise("black-bottom"),
+                F.when(variant == 2, "sparse").otherwise("dense"))
+    drawn = F.array_compact(F.array(one, F.when(variant >= 2, two)))
     negative = i % 11 == 10
     partial = ~negative & (i % 37 == 36)
     made = base.withColumn("_boards", drawn)

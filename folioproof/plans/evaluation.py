@@ -385,12 +385,12 @@ def ledger_totals(t: Tables) -> DataFrame:
     return B.ledger_totals(unique(t)).withColumn("seconds", F.round("seconds", 4))
 
 
-@query("""SELECT o_orderkey AS run, segment, round(o_totalprice / 3000, 4) AS capacity, round(coalesce(used, 0), 4) AS consumed, round(greatest(0, o_totalprice / 3000 - coalesce(used, 0)), 4) AS remaining
+@query("""SELECT o_orderkey AS run, segment, round(o_totalprice, 2) AS capacity, round(coalesce(used, 0), 2) AS consumed, round(greatest(0, o_totalprice - coalesce(used, 0)), 2) AS remaining
   FROM orders CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS segment) s LEFT JOIN (SELECT run, segment AS sg, sum(seconds) AS used FROM att WHERE NOT inherited GROUP BY 1, 2) u
   ON u.run = o_orderkey AND u.sg = s.segment""", "att")
 def budget_status(t: Tables) -> DataFrame:
-    capacities = t.orders.select(F.col("o_orderkey").alias("run"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("segment"), (F.col("o_totalprice") / 3000).alias("capacity"))
-    return B.budget_status(unique(t), capacities).select("run", "segment", *[F.round(c, 4).alias(c) for c in ("capacity", "consumed", "remaining")])
+    capacities = t.orders.select(F.col("o_orderkey").alias("run"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("segment"), F.col("o_totalprice").alias("capacity"))
+    return B.budget_status(unique(t), capacities).select("run", "segment", *[F.round(c, 2).alias(c) for c in ("capacity", "consumed", "remaining")])
 
 
 @query("""SELECT event_id, round(tv, 4) AS total_value, tn AS total_unit, coalesce(rn < first, true) AS admitted FROM (SELECT *, min(CASE WHEN tv > 60000 OR tn > 9000 THEN rn END) OVER () AS first FROM (
