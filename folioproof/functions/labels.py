@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .scalar import let
+from .scalar import let, texts
 
 # The thirteen classes in dataset order; '.' and 'empty' are one class.
 LABELS = [".", "P", "N", "B", "R", "Q", "K", "p", "n", "b", "r", "q", "k"]
@@ -18,7 +18,7 @@ UNCERTAIN_BELOW = 0.7
 
 
 def label_array() -> Column:
-    return F.array(*[F.lit(x) for x in LABELS])
+    return texts(LABELS)
 
 
 def canonical_label(label: Column) -> Column:

@@ -15,6 +15,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+def texts(values: list[str]) -> Column:
+    """A constant array of strings as one expression, folded at planning time."""
+    return F.split(F.lit("\u001f".join(values)), "\u001f")
+
+
 def canonical(*columns: Column | str) -> Column:
     """Canonical text of a record: fields in name order, nulls kept."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

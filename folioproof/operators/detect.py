@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -36,6 +38,39 @@ def _ious(box: np.ndarray, others: np.ndarray) -> np.ndarray:
     return shared / np.maximum(area + areas - shared, 1e-9)
 
 
+def _survivors(rows: np.ndarray, threshold: float, at_most: int | None) -> list[int]:
+    """Places kept by greedy suppression of (x0, y0, x1, y1, class) rows in order."""
+    alive = np.ones(len(rows), dtype=bool)
+    kept: list[int] = []
+    for i in range(len(rows)):
+        if not alive[i]:
+            continue
+        kept.append(i)
+        if at_most is not None and len(kept) >= at_most:
+            break
+        alive[i + 1:] &= ~((_ious(rows[i], rows[i + 1:]) > threshold) & (rows[i + 1:, 4] == rows[i, 4]))
+    return kept
+
+
+def _claims(boxes: np.ndarray, others: np.ndarray, limits: np.ndarray) -> tuple[list, list, list]:
+    """Greedy claims of ``boxes`` in order, per limit: place of the truth, IoU and error."""
+    free = np.ones((len(limits), len(others)), dtype=bool)
+    truths, ious, errors = [], [], []
+    for box in boxes:
+        t, u, e = [None] * len(limits), [None] * len(limits), [None] * len(limits)
+        iou = _ious(box, others) if len(others) else np.zeros(0)
+        for k in np.nonzero(limits <= iou.max())[0] if len(iou) else ():
+            left = np.where(free[k] & (iou >= limits[k]), iou, -1.0)
+            best = int(left.argmax())
+            if left[best] >= 0:
+                free[k, best] = False
+                t[k], u[k], e[k] = best, float(iou[best]), float(np.abs(box[:4] - others[best, :4]).mean())
+        truths.append(t)
+        ious.append(u)
+        errors.append(e)
+    return truths, ious, errors
+
+
 def _cells(low: str, high: str, name: str, spread: bool) -> Column:
     """(level, cell) keys along one axis under which boxes of IoU >= 0.5 meet.
 
@@ -83,34 +118,26 @@ def suppress(candidates: DataFrame, threshold: float, *, by_class: bool = False,
     decoder.  Oversized pages are suppressed in rounds over overlapping pairs.
     """
     columns = candidates.columns
-    schema = candidates.schema
     small, big = _split_by_size(candidates, big_page)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        rank = pdf["rank"].to_numpy()
-        order = np.argsort(rank, kind="stable") if given_order else np.lexsort((rank, -pdf["score"].to_numpy(float)))
-        classes = pdf["class_id"].to_numpy() if by_class else None
-        kept: list[int] = []
-        alive = np.ones(len(pdf), dtype=bool)
-        for i in order:
-            if not alive[i]:
-                continue
-            kept.append(i)
-            if at_most is not None and len(kept) >= at_most:
-                break
-            hit = _ious(boxes[i], boxes) > threshold
-            if classes is not None:
-                hit &= classes == classes[i]
-            alive &= ~hit
-        return pdf.iloc[kept]
-
-    done = small.groupBy("page").applyInPandas(kernel, schema)
+    # A page becomes one row of arrays in suppression order, so a batch of pages is one call.
+    turn = F.struct(F.col("rank").alias("a")) if given_order else F.struct((-F.col("score")).alias("a"), F.col("rank").alias("b"))
+    listed = small.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(
+        turn.alias("turn"), F.struct(*columns).alias("row"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")],
+        (F.col("class_id") if by_class else F.lit(0)).cast("double").alias("k")))).alias("c"))
+    flat = F.flatten(F.transform("c", lambda z: F.array(z["x0"], z["y0"], z["x1"], z["y1"], z["k"])))
+
+    @F.pandas_udf("array<int>")
+    def survivors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in parts:
+            yield pd.Series([_survivors(np.asarray(v, dtype=float).reshape(-1, 5), threshold, at_most) for v in pages], dtype=object)
+
+    done = (listed.withColumn("_kept", survivors(flat)).select("c", F.explode("_kept").alias("_i"))
+            .select(F.get("c", F.col("_i"))["row"].alias("r")).select("r.*"))
     rest = candidates.join(F.broadcast(big), "page")
     if big.isEmpty():
         return done
     keys = ["page", "class_id"] if by_class else ["page"]
-    turn = F.struct(F.col("rank")) if given_order else F.struct(-F.col("score"), F.col("rank"))
     nodes = rest.withColumn("id", F.col("rank")).withColumn("turn", turn)
     if threshold < 0.5:
         pairs = _touching(nodes, keys, threshold)
@@ -178,34 +205,34 @@ def match(predictions: DataFrame, truth: DataFrame, thresholds: list[float] | No
                                F.col("score").cast("double").alias("score"))
             .unionByName(truth.select("page", F.lit(0).alias("side"), F.col("number").cast("long").alias("n"), *edges,
                                       F.lit(None).cast("double").alias("score"))))
-    page_type = predictions.schema["page"].dataType.simpleString()
-    schema = f"page {page_type}, rank long, score double, truths array<long>, ious array<double>, errors array<double>"
     limits = np.array(thresholds)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf[pdf["side"] == 0].sort_values("n")
-        p = pdf[pdf["side"] == 1]
-        p = p.iloc[np.lexsort((p["n"].to_numpy(), -p["score"].to_numpy(float)))]
-        boxes, others = p[["x0", "y0", "x1", "y1"]].to_numpy(float), t[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        numbers = t["n"].to_numpy()
-        free = np.ones((len(limits), len(t)), dtype=bool)
-        out = []
-        for i in range(len(p)):
-            truths, ious, errors = [None] * len(limits), [None] * len(limits), [None] * len(limits)
-            if len(t):
-                iou = _ious(boxes[i], others)
-                for k in np.nonzero(limits <= iou.max())[0]:
-                    open_iou = np.where(free[k] & (iou >= limits[k]), iou, -1.0)
-                    best = int(open_iou.argmax())
-                    if open_iou[best] >= 0:
-                        free[k, best] = False
-                        truths[k], ious[k] = int(numbers[best]), float(iou[best])
-                        errors[k] = float(np.abs(boxes[i] - others[best]).mean())
-            out.append((pdf["page"].iloc[0], p["n"].iloc[i], p["score"].iloc[i], truths, ious, errors))
-        return pd.DataFrame(out, columns=["page", "rank", "score", "truths", "ious", "errors"])
-
     small, big = _split_by_size(rows, big_page)
-    done = small.groupBy("page").applyInPandas(kernel, schema)
+
+    def side(which: int, order: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == which, F.struct(
+            order.alias("o"), "n", "x0", "y0", "x1", "y1")))).alias("pt"[1 - which])
+
+    def numbers(c: str) -> Column:
+        return F.flatten(F.transform(c, lambda z: F.array(z["x0"], z["y0"], z["x1"], z["y1"])))
+
+    claim_type = "array<struct<truths:array<long>,ious:array<double>,errors:array<double>>>"
+
+    @F.pandas_udf(claim_type)
+    def claims(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for p, t, names in parts:
+            made = []
+            for own, other, name in zip(p, t, names):
+                found = _claims(np.asarray(own, dtype=float).reshape(-1, 4), np.asarray(other, dtype=float).reshape(-1, 4), limits)
+                made.append([{"truths": [None if i is None else int(name[i]) for i in a], "ious": b, "errors": c}
+                             for a, b, c in zip(*found)])
+            yield pd.Series(made, dtype=object)
+
+    # One row of arrays per page: a batch of pages is one call of the kernel.
+    listed = small.groupBy("page").agg(side(1, -F.col("score")), side(0, F.lit(0.0)))
+    claimed = listed.where(F.size("p") > 0).select("page", "p", claims(
+        numbers("p"), numbers("t"), F.transform("t", lambda z: z["n"])).alias("m"))
+    done = claimed.select("page", F.explode(F.arrays_zip("p", "m")).alias("z")).select(
+        "page", F.col("z.p.n").alias("rank"), (-F.col("z.p.o")).alias("score"), "z.m.truths", "z.m.ious", "z.m.errors")
     if big.isEmpty():
         return done
     large = rows.join(F.broadcast(big), "page").withColumnRenamed("n", "id")

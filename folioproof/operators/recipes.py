@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..functions.scalar import digest_number, let
+from ..functions.scalar import digest_number, let, texts
 from ..plans.ordered import running
 
 # Layouts, effects and legal positions of the recipe format.
@@ -29,8 +29,8 @@ def _div(value: Column, by: int) -> Column:
     return F.floor(value / by)
 
 
-def _pick(values: list, at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+def _pick(values: list[str], at: Column) -> Column:
+    return F.element_at(texts(values), (at + 1).cast("int"))
 
 
 def opening_labels(index: Column) -> Column:
@@ -39,7 +39,7 @@ def opening_labels(index: Column) -> Column:
     for text in OPENINGS:
         for n in range(1, 9):
             text = text.replace(str(n), "." * n)
-        boards.append(F.array(*[F.lit(c) for c in text.replace("/", "")]))
+        boards.append(texts(list(text.replace("/", ""))))
     return F.element_at(F.array(*boards), (index % len(OPENINGS) + 1).cast("int"))
 
 
@@ -53,7 +53,7 @@ def random_labels(seed: Column | str, index: Column, board: int, occupied: Colum
     bits = F.concat(*[F.sha2(F.concat(key, F.lit(f":{i}")), 256) for i in range(4)])
     start = digest_number(seed, index, F.lit(board), F.lit("start")) % len(PIECES)
     squares = F.sequence(F.lit(0), F.lit(63))
-    pieces = F.array(*[F.lit(p) for p in PIECES])
+    pieces = texts(PIECES)
 
     def ranked(b: Column) -> Column:
         return F.transform(F.array_sort(F.transform(squares, lambda s: F.struct(
@@ -109,25 +109,23 @@ def recipes(indices: DataFrame, seed: str, sets: list[str] | None = None, index:
         F.when(variant >= 2, random_labels(seed, i, 1, F.when(variant == 2, OCCUPIED["sparse"]).otherwise(
             OCCUPIED["dense"]))).alias("_second"))
 
-    def edge(number: int, part: int) -> Column:
-        out = F.lit(None).cast("int")
-        for v, frames in FRAMES.items():
-            if number < len(frames):
-                out = F.when(variant == v, frames[number][part]).otherwise(out)
-        return out
+    def edge(number: int, part: int) -> str:
+        cases = " ".join(f"WHEN {v} THEN {frames[number][part]}" for v, frames in FRAMES.items() if number < len(frames))
+        return f"(CASE index % 4 {cases} END)"
 
     def board(number: int, labels: Column, set_at: Column, side: Column, kind: Column) -> Column:
         x, y, size = (edge(number, part) for part in range(3))
-        width, height, shear, turn = (F.col(c) for c in ("width", "height", "_shear", "_turn"))
 
-        def corner(px: Column, py: Column) -> Column:
-            return F.when((shear != 0) | (turn != 0), G.shear_rotate(G.point(px, py), width, height, shear, turn)).otherwise(
-                G.point(px, py))
+        def corner(px: str, py: str) -> Column:
+            dx, dy = f"({px} + _shear * {py} - width / 2)", f"({py} - height / 2)"
+            c, s = "cos(radians(_turn))", "sin(radians(_turn))"
+            return F.expr(f"named_struct('x', if(_shear != 0 OR _turn != 0, width / 2 + {dx} * {c} - {dy} * {s}, double({px})), "
+                          f"'y', if(_shear != 0 OR _turn != 0, height / 2 + {dx} * {s} + {dy} * {c}, double({py})))")
 
         matrix = [F.col("_matrix")[k] for k in range(9)]
         parent = F.when(kind == "legal-opening", F.concat(F.lit("opening-"), (_div(i, 20) % 3).cast("string"))).otherwise(
             F.concat(F.lit(f"teaching-{seed}-"), i.cast("string"), F.lit(f"-board-{number}")))
-        return let(F.array(corner(x, y), corner(x + size, y), corner(x + size, y + size), corner(x, y + size)), lambda moved: F.struct(
+        return let(F.array(corner(x, y), corner(f"({x} + {size})", y), corner(f"({x} + {size})", f"({y} + {size})"), corner(x, f"({y} + {size})")), lambda moved: F.struct(
             F.lit(f"board-{number}").alias("id"), _pick(sets, set_at % len(sets)).alias("set"),
             F.when(side == "black-bottom", F.reverse(labels)).otherwise(labels).alias("labels"),
             F.when(F.col("_matrix").isNull(), moved).otherwise(F.transform(moved, lambda p: G.project(matrix, p))).alias("corners"),

@@ -519,9 +519,11 @@ def detector_labels(t: Tables) -> DataFrame:
     return E.label_lines(pages)
 
 
-@query("""SELECT page, number AS rank FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM bx) b WHERE number = 0 OR NOT EXISTS (SELECT 1 FROM bx o WHERE o.page = b.page AND o.number < b.number
-  AND greatest(0, least(o.x1, b.x1) - greatest(o.x0, b.x0)) * greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0)) > 0)
-  UNION SELECT page, rank FROM (SELECT page, number AS rank FROM bx WHERE false)""", "bx")
+@query("""RECURSIVE foe AS (SELECT b.page, b.number AS rank, b.number + 1 AS rn, coalesce(list(o.number) FILTER (WHERE o.number IS NOT NULL), []) AS foes FROM bx b LEFT JOIN bx o ON o.page = b.page
+    AND o.number < b.number AND least(o.x1, b.x1) > greatest(o.x0, b.x0) AND least(o.y1, b.y1) > greatest(o.y0, b.y0) GROUP BY 1, 2, 3),
+  step(page, rn, kept) AS (SELECT DISTINCT page, 0::BIGINT, []::BIGINT[] FROM bx
+    UNION ALL SELECT s.page, o.rn, CASE WHEN list_has_any(s.kept, o.foes) THEN s.kept ELSE list_append(s.kept, o.rank) END FROM step s JOIN foe o ON o.page = s.page AND o.rn = s.rn + 1)
+  SELECT page, unnest(arg_max(kept, rn)) AS rank FROM step GROUP BY page""", "bx")
 def apart_grids(t: Tables) -> DataFrame:
     """Grids in given order, dropping any that touches an earlier kept one at all."""
     b = V.boxes(t.embeddings).withColumnRenamed("number", "rank").withColumn("score", F.lit(1.0))

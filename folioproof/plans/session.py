@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs a round trip per expression while a plan is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Raster columns are wide: 256 rows of 256 KB stay under 64 MB per Arrow batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

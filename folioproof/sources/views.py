@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
-from ..functions.labels import LABELS
+from ..functions.labels import label_array
+from ..functions.scalar import texts
 from ..operators.recipes import EFFECTS
 
 DIMS = 64
@@ -68,9 +69,7 @@ def dim(i: int) -> Column:
 
 def codes(embeddings: DataFrame) -> DataFrame:
     """60-bit sign codes, each with a copy whose low vec_id % 7 bits are flipped."""
-    code = F.lit(0).cast("long")
-    for i in range(60):
-        code = code + F.when(dim(i) > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    code = F.expr(" + ".join(f"if(embedding[{i}] > 0, {1 << i}L, 0L)" for i in range(60)))
     own = embeddings.select(F.col("vec_id").alias("id"), code.alias("phash"))
     flips = F.element_at(F.array(*[F.lit((1 << k) - 1).cast("long") for k in range(7)]), (F.col("id") % 7 + 1).cast("int"))
     return own.unionByName(own.select((F.col("id") + 1000000).alias("id"), F.col("phash").bitwiseXOR(flips).alias("phash")))
@@ -106,7 +105,7 @@ def predicted_boxes(embeddings: DataFrame) -> DataFrame:
 
 def detector_pages(embeddings: DataFrame) -> DataFrame:
     pages = embeddings.select(F.expr("vec_id div 4").alias("page")).distinct()
-    effect = F.element_at(F.array(*[F.lit(e) for e in EFFECTS]), (F.col("page") % 4 + 1).cast("int"))
+    effect = F.element_at(texts(EFFECTS), (F.col("page") % 4 + 1).cast("int"))
     return pages.select("page", F.when(F.col("page") % 10 == 8, "negative").when(F.col("page") % 10 == 9, "partial")
                         .otherwise("boards").alias("kind"), effect.alias("effect"),
                         F.concat(F.lit("layout-"), (F.col("page") % 3).cast("string")).alias("layout"))
@@ -126,8 +125,7 @@ def class_of_dim() -> Column:
 
 
 def label_names(classes: Column) -> Column:
-    names = F.array(*[F.lit(x) for x in LABELS])
-    return F.transform(classes, lambda c: F.element_at(names, c + 1))
+    return F.transform(classes, lambda c: F.element_at(label_array(), c + 1))
 
 
 def boards(embeddings: DataFrame) -> DataFrame:
