@@ -41,9 +41,9 @@ def components(members: DataFrame, item: str = "item", key: str = "key",
     aggregation with map-side combine plus a skew-safe lookup.  Each round is
     checkpointed, so a lost executor costs one round at most.
     """
-    pairs = members.select(F.col(item).alias("u"), F.col(key).alias("k"))
+    pairs = keep(members.select(F.col(item).alias("u"), F.col(key).alias("k")))
     heads = pairs.groupBy("k").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_rows"))
-    total = members.count()
+    total = pairs.count()
     edges = keep(lookup(pairs, heads, "k", "_rows", hot_rows, total).where("u <> v").select("u", "v").distinct())
     mark = None
     for _ in range(max_rounds):
@@ -60,7 +60,7 @@ def components(members: DataFrame, item: str = "item", key: str = "key",
         mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    items = members.select(F.col(item).alias("u")).distinct()
+    items = pairs.select("u").distinct()
     return items.join(edges, "u", "left").select(
         F.col("u").alias(item), F.coalesce("v", "u").alias("component"))
 

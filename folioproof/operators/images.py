@@ -1,26 +1,33 @@
 """Image preparation as distributed jobs.
 
 ``pages`` carries a decoded raster per row: ``raster`` (RGB or RGBA bytes), ``width``,
-``height``.  Kernels run on Arrow batches inside ``mapInPandas``, so pages spread over
+``height``.  Kernels run on Arrow batches inside ``mapInArrow``, so pages spread over
 tasks as they are partitioned.  Keep ``spark.sql.execution.arrow.maxRecordsPerBatch``
 small enough that a batch of rasters stays under about 64 MB.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import raster as R
 from ..functions.geometry import flat, polygon_area, solve_homographies
 from ..functions.labels import parity
 
+BATCH_BYTES = 64 * 1024 * 1024
 MAX_EDGE, MAX_PIXELS = 8192, 24_000_000  # fixed values: limits of a decoded page
 
 
+def _type(df: DataFrame) -> str:
+    return df.schema["page"].dataType.simpleString()
+
+
 def raster_violations(pages: DataFrame) -> DataFrame:
     """Pages whose raster breaks the size limits or does not fit its stated size."""
     n = F.octet_length("raster")
@@ -42,6 +49,43 @@ def difference_hash(raster: Column, width: Column, height: Column) -> Column:
     return _dhash(raster, width, height)
 
 
+def _emit(rows: DataFrame, kernel: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
+    """Run ``kernel`` on every row and send its tuples back as Arrow batches of about 64 MB.
+
+    Values are scalars, bytes, None, or numpy vectors, which become list columns without a
+    detour through Python objects.
+    """
+    types = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(types)
+
+    def pack(made: list[tuple]) -> pa.RecordBatch:
+        columns = []
+        for field, values in zip(arrow, zip(*made)):
+            if pa.types.is_list(field.type):
+                ends = np.cumsum([0, *[len(v) for v in values]], dtype=np.int32)
+                flat_values = pa.array(np.concatenate(values), type=field.type.value_type)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), flat_values).cast(field.type))
+            else:
+                columns.append(pa.array(values, type=field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                for out in kernel(row):
+                    made.append(out)
+                    size += sum(getattr(v, "nbytes", len(v) if isinstance(v, bytes) else 8) for v in out)
+                if size > BATCH_BYTES:
+                    yield pack(made)
+                    made, size = [], 0
+        if made:
+            yield pack(made)
+
+    return rows.mapInArrow(run, types)
+
+
 def rectified(pages: DataFrame, boards: DataFrame, size: int = R.GRID) -> DataFrame:
     """(page, number, grid): every board cut out of its page as a size x size RGB grid.
 
@@ -54,68 +98,46 @@ def rectified(pages: DataFrame, boards: DataFrame, size: int = R.GRID) -> DataFr
     grouped = boards.groupBy("page", F.floor(F.col("number") / 64).alias("_list")).agg(F.collect_list(F.struct(
         F.col("number").cast("long").alias("number"), flat(F.col("corners")).alias("corners"), ok.alias("ok"))).alias("boards")).drop("_list")
     joined = pages.select("page", "raster", "width", "height").join(grouped, "page")
-    page_type = pages.schema["page"].dataType.simpleString()
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                rgb = R.as_rgb(row.raster, row.width, row.height)
-                corners = np.array([b["corners"] for b in row.boards], dtype=float).reshape(-1, 4, 2)
-                found = solve_homographies(R.edge_corners(corners, row.width, row.height), size - 1)
-                yield pd.DataFrame({
-                    "page": row.page, "number": [b["number"] for b in row.boards],
-                    "grid": [R.rectify(rgb, h, size).tobytes() if b["ok"] and not np.isnan(h[0]) else None
-                             for h, b in zip(found, row.boards)]})
+    def cut(row: dict) -> Iterator[tuple]:
+        rgb = R.as_rgb(row["raster"], row["width"], row["height"])
+        corners = np.array([b["corners"] for b in row["boards"]], dtype=float).reshape(-1, 4, 2)
+        found = solve_homographies(R.edge_corners(corners, row["width"], row["height"]), size - 1)
+        for h, b in zip(found, row["boards"]):
+            fits = b["ok"] and not np.isnan(h[0])
+            yield row["page"], b["number"], R.rectify(rgb, h, size).tobytes() if fits else None
 
-    return joined.mapInPandas(cut, f"page {page_type}, number long, grid binary")
+    return _emit(joined, cut, f"page {_type(pages)}, number long, grid binary")
 
 
 def square_tensors(grids: DataFrame, size: int = R.GRID) -> DataFrame:
     """(page, number, square, tensor): one row per square, channel first, normalised."""
-    page_type = grids.schema["page"].dataType.simpleString()
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                if row.grid is None:
-                    continue
-                t = R.tiles(R.as_rgb(row.grid, size, size)).reshape(64, -1)
-                yield pd.DataFrame({"page": row.page, "number": row.number, "square": range(64), "tensor": list(t)})
+    def cut(row: dict) -> Iterator[tuple]:
+        for i, t in enumerate(R.tiles(R.as_rgb(row["grid"], size, size)).reshape(64, -1)):
+            yield row["page"], row["number"], i, t
 
-    return grids.select("page", "number", "grid").mapInPandas(
-        cut, f"page {page_type}, number long, square int, tensor array<float>")
+    return _emit(grids.where("grid is not null").select("page", "number", "grid"), cut,
+                 f"page {_type(grids)}, number long, square int, tensor array<float>")
 
 
 def inner_tiles(grids: DataFrame, size: int = R.GRID, margin: int = 3, side: int = 24) -> DataFrame:
     """(page, number, square, tile): averaged bytes of the inside of each square."""
-    page_type = grids.schema["page"].dataType.simpleString()
+    def cut(row: dict) -> Iterator[tuple]:
+        for i, t in enumerate(R.inner_tiles(R.as_rgb(row["grid"], size, size), margin, side)):
+            yield row["page"], row["number"], i, t
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                if row.grid is None:
-                    continue
-                t = R.inner_tiles(R.as_rgb(row.grid, size, size), margin, side)
-                yield pd.DataFrame({"page": row.page, "number": row.number, "square": range(64), "tile": list(t)})
-
-    return grids.select("page", "number", "grid").mapInPandas(
-        cut, f"page {page_type}, number long, square int, tile array<int>")
+    return _emit(grids.where("grid is not null").select("page", "number", "grid"), cut,
+                 f"page {_type(grids)}, number long, square int, tile array<int>")
 
 
 def letterboxed(pages: DataFrame, size: int = 416, channels: str = "rgb", preprocessing: str | None = None) -> DataFrame:
     """(page, scale, tensor): detector input; ``preprocessing`` 'unit' or 'imagenet' scales it."""
-    page_type = pages.schema["page"].dataType.simpleString()
-
-    def box(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                canvas = R.letterbox(R.as_rgb(row.raster, row.width, row.height), size, channels)
-                out = canvas if preprocessing is None else R.detector_scaled(canvas, preprocessing)
-                yield pd.DataFrame({"page": [row.page], "scale": [min(size / row.width, size / row.height)],
-                                    "tensor": [out.ravel()]})
+    def box(row: dict) -> Iterator[tuple]:
+        canvas = R.letterbox(R.as_rgb(row["raster"], row["width"], row["height"]), size, channels)
+        out = canvas if preprocessing is None else R.detector_scaled(canvas, preprocessing)
+        yield row["page"], min(size / row["width"], size / row["height"]), out.ravel()
 
-    return pages.select("page", "raster", "width", "height").mapInPandas(
-        box, f"page {page_type}, scale double, tensor array<float>")
+    return _emit(pages.select("page", "raster", "width", "height"), box, f"page {_type(pages)}, scale double, tensor array<float>")
 
 
 def tensor_violations(tensors: DataFrame, low: float = 0.0, high: float = 255.0) -> DataFrame:
@@ -140,28 +162,19 @@ def degraded(pages: DataFrame) -> DataFrame:
 
 def greyscale(pages: DataFrame, width: int, height: int) -> DataFrame:
     """(page, grey): float luminance sampled to one size."""
-    page_type = pages.schema["page"].dataType.simpleString()
+    def shrink(row: dict) -> Iterator[tuple]:
+        grey = R.luminance(R.as_rgb(row["raster"], row["width"], row["height"]))
+        yield row["page"], R.sample_resize(grey, width, height).astype(np.float32).ravel()
 
-    def shrink(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({"page": pdf["page"], "grey": [
-                R.sample_resize(R.luminance(R.as_rgb(r, w, h)), width, height).astype(np.float32).ravel()
-                for r, w, h in zip(pdf["raster"], pdf["width"], pdf["height"])]})
-
-    return pages.select("page", "raster", "width", "height").mapInPandas(shrink, f"page {page_type}, grey array<float>")
+    return _emit(pages.select("page", "raster", "width", "height"), shrink, f"page {_type(pages)}, grey array<float>")
 
 
 def centre_crops(pages: DataFrame, short: int = 256, crop: int = 224) -> DataFrame:
     """(page, tensor): bicubic resize, central crop, ImageNet normalisation."""
-    page_type = pages.schema["page"].dataType.simpleString()
-
-    def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                cut = R.centre_crop(R.as_rgb(row.raster, row.width, row.height), short, crop)
-                yield pd.DataFrame({"page": [row.page], "tensor": [R.normalised(cut).ravel()]})
+    def make(row: dict) -> Iterator[tuple]:
+        yield row["page"], R.normalised(R.centre_crop(R.as_rgb(row["raster"], row["width"], row["height"]), short, crop)).ravel()
 
-    return pages.select("page", "raster", "width", "height").mapInPandas(make, f"page {page_type}, tensor array<float>")
+    return _emit(pages.select("page", "raster", "width", "height"), make, f"page {_type(pages)}, tensor array<float>")
 
 
 def tile_errors(tiles: DataFrame, controls: DataFrame, ceiling: float) -> DataFrame:

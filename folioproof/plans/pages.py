@@ -473,7 +473,7 @@ def stand_ins() -> P.Registry:
     return registry
 
 
-@query("""SELECT vec_id AS id, 'ok' AS status, 1 AS boards, array_to_string([['.', 'P', 'N', 'B', 'R', 'Q', 'K', 'p', 'n', 'b', 'r', 'q', 'k'][CAST(floor((greatest(-1, least(1, CAST(x AS DOUBLE))) + 1) * 127.5) * 13 // 256 + 1 AS INT)] FOR x IN embedding], '') AS labels,
+@query("""SELECT vec_id AS id, 'ok' AS status, 1 AS boards, array_to_string([['.', 'P', 'N', 'B', 'R', 'Q', 'K', 'p', 'n', 'b', 'r', 'q', 'k'][CAST(floor((greatest(-1, least(1, CAST(x AS DOUBLE))) + 1) * 127.5) AS INT) * 13 // 256 + 1] FOR x IN embedding], '') AS labels,
   0 AS uncertain, 'whole-page,brightness' AS providers FROM embeddings""")
 def scored_pages(t: Tables) -> DataFrame:
     pages = V.rasters(t.embeddings).withColumnRenamed("page", "id")
