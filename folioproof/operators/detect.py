@@ -140,7 +140,7 @@ def suppress(candidates: DataFrame, threshold: float, *, by_class: bool = False,
     keys = ["page", "class_id"] if by_class else ["page"]
     nodes = rest.withColumn("id", F.col("rank")).withColumn("turn", turn)
     if threshold < 0.5:
-        pairs = _touching(nodes, keys, threshold)
+        pairs = touching(nodes, nodes, keys, threshold)
     else:
         pairs = overlapping(nodes, nodes, threshold, keys).where(F.col("iou") > threshold)
     turns = nodes.select(*keys, "id", "turn")
@@ -158,9 +158,9 @@ def suppress(candidates: DataFrame, threshold: float, *, by_class: bool = False,
     return done.unionByName(out.select(*columns))
 
 
-def _touching(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Pairs above a low IoU.  Extents differ by at most 1/threshold, so both boxes of a pair
-    cover a common grid cell at the level of the larger one."""
+def touching(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, l_id, r_id) of boxes above a low IoU.  Extents differ by at most 1/threshold, so
+    both boxes of a pair cover a common grid cell at the level of the larger one."""
     reach = int(np.ceil(np.log2(1 / max(threshold, 1e-3))))
 
     def covered(low: str, high: str, name: str) -> Column:
@@ -169,12 +169,12 @@ def _touching(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
             F.sequence(F.floor(F.col(low) / F.pow(F.lit(2.0), k)), F.floor(F.col(high) / F.pow(F.lit(2.0), k))),
             lambda c: F.struct(k.alias("l"), c.alias("c"))))).alias(name)
 
-    def side(p: str) -> DataFrame:
-        named = nodes.select(*keys, *[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")],
+    def side(df: DataFrame, p: str) -> DataFrame:
+        named = df.select(*keys, *[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")],
                              covered("x0", "x1", "_x"), covered("y0", "y1", "_y"))
         return named.withColumn("_x", F.explode("_x")).withColumn("_y", F.explode("_y"))
 
-    return (side("l_").join(side("r_"), [*keys, "_x", "_y"]).where("l_id < r_id")
+    return (side(left, "l_").join(side(right, "r_"), [*keys, "_x", "_y"])
             .withColumn("iou", G.box_iou(G.box("l_"), G.box("r_"))).where(F.col("iou") > threshold)
             .select(*keys, "l_id", "r_id").distinct())
 

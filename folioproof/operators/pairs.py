@@ -32,13 +32,14 @@ def exact_links(items: DataFrame, item: str, key: str, reason: str = "exact",
 
 def exact_pair_counts(items: DataFrame, key: str, split: str) -> DataFrame:
     """Pairs of equal rows per reason of interest, from group sizes alone."""
+    # Halving the even factor first keeps n(n-1)/2 within a long up to four billion copies.
+    pairs = "if(n % 2 = 0, (n div 2) * (n - 1), n * ((n - 1) div 2))"
     sizes = items.groupBy(key, split).agg(F.count(F.lit(1)).alias("n"))
-    per_key = sizes.groupBy(key).agg(
-        F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"))
+    per_key = sizes.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.expr(pairs)).alias("same"))
     return per_key.where("n > 1").agg(
         F.count(F.lit(1)).alias("groups"),
         F.coalesce(F.sum("same"), F.lit(0)).alias("same_split_pairs"),
-        F.coalesce(F.sum(F.expr("n * (n - 1) div 2 - same")), F.lit(0)).alias("cross_split_pairs"))
+        F.coalesce(F.sum(F.expr(f"{pairs} - same")), F.lit(0)).alias("cross_split_pairs"))
 
 
 def _cuts(bits: int, blocks: int) -> list[tuple[int, int]]:
@@ -173,9 +174,14 @@ def with_sides(pairs: DataFrame, samples: DataFrame, sources: DataFrame, exclusi
     """Active pairs with source and split of both sides (samples: id, source)."""
     active = (samples.select("id", "source").join(exclusions.select("source"), "source", "left_anti")
               .join(sources.select(F.col("id").alias("source"), "split"), "source"))
+    # The smallest id of a large group is in every link of it: a hot key on side a.
+    pairs = keep(pairs)
+    total = pairs.count()
     for side in ("a", "b"):
-        pairs = pairs.join(active.select(F.col("id").alias(side), F.col("source").alias(f"source_{side}"),
-                                         F.col("split").alias(f"split_{side}")), side)
+        found = active.select(F.col("id").alias(side), F.col("source").alias(f"source_{side}"),
+                              F.col("split").alias(f"split_{side}"))
+        counted = found.join(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_rows")), side)
+        pairs = lookup(pairs, counted, side, "_rows", total=total).drop("_rows")
     return pairs
 
 

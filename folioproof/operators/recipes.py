@@ -60,8 +60,10 @@ def random_labels(seed: Column | str, index: Column, board: int, occupied: Colum
             F.substr(b, s * 4 + 1, F.lit(4)).alias("u"), s.alias("s")))), lambda z: z["s"])
 
     def placed(order: Column, first: Column, most: Column) -> Column:
-        return F.transform(F.transform(squares, lambda s: F.array_position(order, s)), lambda r: F.when(
-            r <= most, F.element_at(pieces, ((r - 1 + first) % len(PIECES) + 1).cast("int"))).otherwise(F.lit(".")))
+        # Sorting (square, place) back by square inverts the ranking.
+        places = F.array_sort(F.transform(order, lambda s, r: F.struct(s.alias("s"), r.alias("r"))))
+        return F.transform(places, lambda z: F.when(z["r"] < most, F.element_at(
+            pieces, ((z["r"] + first) % len(PIECES) + 1).cast("int"))).otherwise(F.lit(".")))
 
     return let(bits, lambda b: let(ranked(b), lambda order: let(
         start, lambda first: let(occupied, lambda most: placed(order, first, most)))))
@@ -85,9 +87,16 @@ def perspective(width: Column, height: Column, index: Column) -> Column:
     return F.when((index < 100000) & (index % 5 == 4), matrix)
 
 
-def recipes(indices: DataFrame, seed: str, sets: list[str] | None = None, index: str = "index") -> DataFrame:
-    """One page recipe per index (a non-negative long)."""
+def recipes(indices: DataFrame, seed: str, sets: list[str] | None = None, index: str = "index",
+            parts: int | None = None) -> DataFrame:
+    """One page recipe per index (a non-negative long).
+
+    Eight bytes per row go in and tens of kilobytes come out, so ``parts`` may spread the
+    indices first; that shuffle is nothing beside the work it balances.
+    """
     sets = sets or DEFAULT_SETS
+    if parts:
+        indices = indices.select(index).repartition(parts, index)
     i = F.col("index")
     variant = i % 4
     base = indices.select(F.col(index).alias("index")).select(

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geometry as G
 from ..functions.scalar import stale
 from ..plans.ordered import ordered, running, scan
+from ..plans.session import keep
+from .detect import touching
+from .matching import claim_in_rounds
 
 SCOPES = {"train-pending": ("train", False), "train-all": ("train", None), "accepted-train": ("train", True),
           "dev-pending": ("dev", False), "dev-all": ("dev", None), "accepted-dev": ("dev", True)}
@@ -124,23 +127,38 @@ def run_rollup(runs: DataFrame, attempts: DataFrame, results: DataFrame, now: Co
             .withColumn("state", F.when(quiet, "heartbeat-stale-resume-required").otherwise(F.col("state"))))
 
 
-def polygon_matches(proposed: DataFrame, final: DataFrame, least: float = 0.5) -> DataFrame:
+def polygon_matches(proposed: DataFrame, final: DataFrame, least: float = 0.5, big_page: int = 4096) -> DataFrame:
     """One-to-one proposal/review boards of a page by polygon IoU, largest first.
 
-    Boards are ``page, number, corners, labels``.  Pairs are limited to boards whose
-    bounding boxes overlap; a page has at most 64 boards.  Ties go to the larger
-    proposal number, then the larger review number.
+    Boards are ``page, number, corners, labels``.  Only boards whose bounds overlap are
+    compared.  Ties go to the larger proposal number, then the larger review number.
     """
-    from .matching import claim_in_rounds
 
     def side(df: DataFrame, n: str) -> DataFrame:
         b = G.bounds(F.col("corners"))
         return df.select("page", F.col("number").alias(n), F.col("corners").alias(f"{n}_corners"),
                          F.col("labels").alias(f"{n}_labels"), *[v.alias(f"{n}_{k}") for k, v in b.items()])
 
-    pairs = (side(proposed, "p").join(side(final, "t"), "page")
-             .where("least(p_x1, t_x1) > greatest(p_x0, t_x0) and least(p_y1, t_y1) > greatest(p_y0, t_y0)")
-             .withColumn("iou", G.polygon_iou(F.col("p_corners"), F.col("t_corners")))
+    p, t = side(proposed, "p"), side(final, "t")
+    meet = "least(p_x1, t_x1) > greatest(p_x0, t_x0) and least(p_y1, t_y1) > greatest(p_y0, t_y0)"
+    big = keep(proposed.select("page").unionByName(final.select("page")).groupBy("page").count()
+               .where(F.col("count") > big_page).select("page"))
+    if big.isEmpty():
+        near = p.join(t, "page").where(meet)
+    else:
+        # Convex boards fill at least half of their bounds, so an IoU of 0.5 needs bounds with
+        # an IoU of 1/8: oversized pages are paired through grid cells, not all with all.
+        few = F.broadcast(big)
+
+        def bounds_of(df: DataFrame, n: str) -> DataFrame:
+            return df.join(few, "page").select("page", F.col(n).alias("id"), *[
+                F.col(f"{n}_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+        links = touching(bounds_of(p, "p"), bounds_of(t, "t"), ["page"], min(0.12, least / 4.1)).select(
+            "page", F.col("l_id").alias("p"), F.col("r_id").alias("t"))
+        near = (p.join(few, "page", "left_anti").join(t, "page").where(meet)
+                .unionByName(links.join(p, ["page", "p"]).join(t, ["page", "t"]), allowMissingColumns=True))
+    pairs = (near.withColumn("iou", G.polygon_iou(F.col("p_corners"), F.col("t_corners")))
              .where(F.col("iou") >= least))
     kept = claim_in_rounds(pairs.select("page", "p", "t", "iou"), ["page"],
                            F.struct(F.col("iou"), F.col("p"), F.col("t")))

@@ -15,7 +15,7 @@ from ..streaming.runs import judged_results, liveness
 from . import evaluation  # noqa: F401  (its views are used here)
 from .curation import queue_pages, sided
 from .registry import Tables, query, view
-from .session import keep, shared_path
+from .session import keep, shared_path, shuffle_partitions
 
 # --- rules ------------------------------------------------------------------
 
@@ -299,7 +299,8 @@ SETS = R.DEFAULT_SETS
 
 def made(t: Tables) -> DataFrame:
     """A recipe for every document."""
-    return R.recipes(t.documents.select(F.col("doc_id").alias("index")), "v1", SETS)
+    indices = t.documents.select(F.col("doc_id").alias("index"))
+    return R.recipes(indices, "v1", SETS, parts=shuffle_partitions(indices))
 
 
 view("rcp", """SELECT doc_id AS i, CASE WHEN doc_id % 11 = 10 THEN 'negative' WHEN doc_id % 37 = 36 THEN 'partial' ELSE 'boards' END AS kind,

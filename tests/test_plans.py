@@ -214,3 +214,27 @@ def test_cells_never_lose_a_pair():
             assert abs(la - lb) <= 1
             unit = 2.0 ** (lb + 1)
             assert abs(np.floor((a[0] + w / 2) / unit) - np.floor((b[0] + v / 2) / unit)) <= 1
+
+
+@pytest.mark.parametrize("big", [0, 4096])
+def test_polygon_matches_do_not_depend_on_the_plan(spark, big):
+    from folioproof.operators.reviews import polygon_matches
+    _, _, p, t = _boxes(spark, seed=11)
+
+    def boards(df, n):
+        corner = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+        return df.select("page", F.col(n).alias("number"), F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in corner]).alias("corners"),
+                         F.array(F.lit(".")).alias("labels"))
+
+    pred, truth, _, _ = _boxes(spark, seed=11)
+    want = set()
+    for page in {r[0] for r in pred}:
+        pairs = sorted(((_iou(a[2:6], b[2:6]), a[1], b[1]) for a in pred if a[0] == page for b in truth if b[0] == page), reverse=True)
+        up, ut = set(), set()
+        for v, i, j in pairs:
+            if v >= 0.5 and i not in up and j not in ut:
+                up.add(i)
+                ut.add(j)
+                want.add((page, i, j))
+    got = polygon_matches(boards(p, "rank"), boards(t, "number"), big_page=big)
+    assert {(r["page"], r["p"], r["t"]) for r in got.collect()} == want
