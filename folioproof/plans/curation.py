@@ -200,7 +200,7 @@ def components_per_split(t: Tables) -> DataFrame:
     return C.components_per_split(t.sources())
 
 
-_freeze = """RECURSIVE reach(u, v) AS (SELECT u, u FROM edge UNION SELECT r.u, e.v FROM reach r JOIN edge e ON e.u = r.v),
+FREEZE = """RECURSIVE reach(u, v) AS (SELECT u, u FROM edge UNION SELECT r.u, e.v FROM reach r JOIN edge e ON e.u = r.v),
   comp AS (SELECT u AS item, min(v) AS component FROM reach GROUP BY u),
   size AS (SELECT component, count(*) AS size FROM comp GROUP BY 1),
   turn AS (SELECT *, row_number() OVER (ORDER BY size DESC, sha256('7:' || component), component) AS rn,
@@ -217,12 +217,12 @@ def frozen(t: Tables) -> DataFrame:
     return S.freeze(S.component_sizes(C.components(V.items(t.documents))), 7)
 
 
-@query(_freeze + " SELECT component, size, split FROM fill WHERE rn > 0", "item", "edge")
+@query(FREEZE + " SELECT component, size, split FROM fill WHERE rn > 0", "item", "edge")
 def frozen_split(t: Tables) -> DataFrame:
     return frozen(t)
 
 
-@query(_freeze + """, page AS (SELECT d.doc_id, f.split, CASE lang WHEN 'en' THEN 'boards' WHEN 'fr' THEN 'negative' ELSE 'partial' END AS kind,
+@query(FREEZE + """, page AS (SELECT d.doc_id, f.split, CASE lang WHEN 'en' THEN 'boards' WHEN 'fr' THEN 'negative' ELSE 'partial' END AS kind,
     'e' || (doc_id % 4) AS effect, 'l' || (doc_id % 3) AS layout, CASE WHEN lang = 'en' THEN doc_id % 3 + 1 ELSE 0 END AS nb
     FROM documents d JOIN comp k ON k.item = d.doc_id JOIN fill f ON f.component = k.component AND f.rn > 0),
   board AS (SELECT split, 's' || (doc_id % 3) AS set, 'p' || ((doc_id + n) % 5) AS position_kind, (doc_id + n) % 2 AS side

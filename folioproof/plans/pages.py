@@ -13,7 +13,7 @@ from ..sources import views as V
 from ..streaming.reviews import fold, without_retries
 from ..streaming.runs import judged_results, liveness
 from . import evaluation  # noqa: F401  (its views are used here)
-from .curation import queue_pages, sided
+from .curation import FREEZE, queue_pages, sided
 from .registry import Tables, query, view
 from .session import keep, shared_path, shuffle_partitions
 
@@ -377,7 +377,11 @@ def epoch_order(t: Tables) -> DataFrame:
     return R.epoch_order(t.documents, "doc_id", 11, 2, 64).select("epoch", "doc_id", "position", "batch")
 
 
-@query()
+view("ritem", """SELECT i AS item, 'e' || (i // 4) AS key FROM {rcp} UNION SELECT i, parent FROM {rbd} WHERE kind = 'boards'""")
+view("redge", "SELECT DISTINCT x.item AS u, y.item AS v FROM {ritem} x JOIN {ritem} y USING (key)")
+
+
+@query(FREEZE.replace("JOIN edge e", "JOIN redge e").replace("FROM edge", "FROM redge") + " SELECT component, size, split FROM fill WHERE rn > 0", "rcp", "rbd", "ritem", "redge")
 def recipe_split(t: Tables) -> DataFrame:
     """Recipes frozen into splits by shared positions and effect controls."""
     found = components(R.split_keys(made(t)))
@@ -386,7 +390,20 @@ def recipe_split(t: Tables) -> DataFrame:
 
 # --- images -----------------------------------------------------------------
 
-@query()
+def _resized() -> str:
+    """Eight grey values of a row as nine, by the triangle filter."""
+    out = []
+    for x in range(9):
+        centre = (x + 0.5) * 8 / 9
+        taps = {j: max(0.0, 1 - abs(j + 0.5 - centre)) for j in range(max(0, int(centre - 0.5)), min(8, int(centre + 1.5)))}
+        total = sum(taps.values())
+        out.append("floor(0.500000001 + " + " + ".join(f"g[8 * y + {j + 1}] * {w / total!r}::DOUBLE" for j, w in taps.items()) + ")")
+    return "[" + ", ".join(out) + "]"
+
+
+@query(f"""SELECT vec_id AS page, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS phash FROM (
+  SELECT vec_id, sum(CASE WHEN r[x] > r[x + 1] THEN 1::HUGEINT << CAST(8 * y + x - 1 AS INT) ELSE 0::HUGEINT END) AS h FROM (
+    SELECT vec_id, y, {_resized()} AS r FROM (SELECT vec_id, [floor((greatest(-1, least(1, CAST(v AS DOUBLE))) + 1) * 127.5) FOR v IN embedding] AS g FROM embeddings), range(8) a(y)), range(1, 9) b(x) GROUP BY vec_id)""")
 def page_hashes(t: Tables) -> DataFrame:
     p = V.rasters(t.embeddings)
     return p.select("page", I.difference_hash(F.col("raster"), F.col("width"), F.col("height")).alias("phash"))
