@@ -195,6 +195,20 @@ def decode_rows(raw: DataFrame, size: int = DETECTOR_SIZE) -> DataFrame:
     return out.where("x1 > x0 and y1 > y0").drop("_s", "_i", "_n", "_cx", "_cy", "_w", "_h")
 
 
+def raw_violations(raw: DataFrame, size: int = DETECTOR_SIZE) -> DataFrame:
+    """Rows of a raw detector output that cannot be decoded, with the reason."""
+    numbers = [F.col(c) for c in ("dx", "dy", "dw", "dh", "objectness")]
+    finite = F.lit(True)
+    for c in numbers:
+        finite = finite & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = sum((size // s) ** 2 for s in STRIDES)
+    codes = F.array_compact(F.array(
+        F.when(~F.col("row").between(0, rows - 1), F.lit("row")), F.when(~finite, F.lit("not-finite")),
+        F.when(~F.col("objectness").between(0, 1), F.lit("objectness")),
+        F.when(F.exists("class_probabilities", lambda p: ~p.between(0, 1)), F.lit("class-probability"))))
+    return raw.withColumn("code", F.explode(codes))
+
+
 def to_source(detections: DataFrame, size: int = DETECTOR_SIZE) -> DataFrame:
     """Detector-frame boxes to page pixels (columns ``width``, ``height``), tiny ones dropped."""
     s = letterbox_scale(F.col("width"), F.col("height"), size)

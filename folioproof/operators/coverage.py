@@ -100,6 +100,31 @@ def recipe_counters(recipes: DataFrame) -> DataFrame:
     return pages.unionByName(per_board).unionByName(squares)
 
 
+def recipe_totals(recipes: DataFrame) -> DataFrame:
+    """Usable boards, boards of unusable pages, and how often positions repeat, in one row."""
+    sizes = recipes.select(F.size("boards").alias("b"), F.size("unsupported_boards").alias("u")).agg(
+        F.sum("b").alias("training_boards"), F.sum("u").alias("unsupported_boards"))
+    repeats = repetition(recipes.select(F.explode("boards.labels").alias("labels")))
+    return repeats.select("*", *[sizes.select(c).scalar().alias(c) for c in ("training_boards", "unsupported_boards")])
+
+
+def next_action(sources: F.Column, quarantined: F.Column, blockers: F.Column) -> F.Column:
+    """What a curator should do next."""
+    return (F.when(sources == 0, "add-sources").when(quarantined > 0, "repair-jobs")
+            .when(blockers > 0, "resolve-cross-split-duplicates").otherwise("review-and-validate"))
+
+
+def status(samples: DataFrame, sources: DataFrame, exclusions: DataFrame, pair_counts: DataFrame, states: DataFrame) -> DataFrame:
+    """One row over the whole store; ``pair_counts`` and ``states`` are already aggregated."""
+    jobs = states.agg(F.coalesce(F.sum(F.when(F.col("state") == "quarantined", F.col("jobs"))), F.lit(0)).alias("n")).scalar()
+    n = sources.agg(F.count(F.lit(1))).scalar()
+    blockers = pair_counts.select("cross_split_blockers").scalar()
+    return page_counts(samples, exclusions).select(
+        "*", n.alias("sources"), exclusions.agg(F.count(F.lit(1))).scalar().alias("excluded_sources"), blockers.alias("cross_split_blockers"),
+        pair_counts.select("same_split_candidates").scalar().alias("same_split_candidates"),
+        next_action(n, jobs, blockers).alias("next_action"))
+
+
 def recipe_gate(counters: DataFrame, sets: list[str], effects: list[str]) -> DataFrame:
     """What a recipe table fails to expose: missing class cells and perspective values."""
     def keyed(counter: str, names: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import raster as R
 from ..functions.geometry import flat, polygon_area, solve_homographies
-from ..functions.labels import parity
+from ..functions.labels import class_id, parity
 
 BATCH_BYTES = 64 * 1024 * 1024
 MAX_EDGE, MAX_PIXELS = 8192, 24_000_000  # fixed values: limits of a decoded page
@@ -200,8 +200,8 @@ def template_distances(tiles: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def class_margins(distances: DataFrame, key: list[str]) -> DataFrame:
-    """Per square: nearest template (the first label on ties) and margin to other classes."""
+    """Per square: nearest template (the first class on ties) and margin to other classes."""
     own = F.col("template") == F.col("label")
     return distances.groupBy(*key, "label").agg(
-        F.min_by("template", F.struct("distance", "template")).alias("nearest"),
+        F.min_by("template", F.struct(F.col("distance"), class_id(F.col("template")))).alias("nearest"),
         (F.min(F.when(~own, F.col("distance"))) - F.min(F.when(own, F.col("distance")))).alias("margin"))

@@ -530,6 +530,16 @@ def page_counts(t: Tables) -> DataFrame:
     return V2.page_counts(t.samples(), t.exclusions())
 
 
+@query("""SELECT count(*) AS pages, count(*) FILTER (WHERE accepted) AS accepted_pages, count(*) FILTER (WHERE NOT accepted) AS review_queue, (SELECT count(*) FROM src) AS sources,
+  (SELECT count(*) FROM excl) AS excluded_sources, (SELECT count(*) FROM sided WHERE decision IS NULL AND split_a <> split_b) AS cross_split_blockers,
+  (SELECT count(*) FROM sided WHERE decision IS NULL AND split_a = split_b) AS same_split_candidates,
+  CASE WHEN (SELECT count(*) FROM sided WHERE decision IS NULL AND split_a <> split_b) > 0 THEN 'resolve-cross-split-duplicates' ELSE 'review-and-validate' END AS next_action
+  FROM smp WHERE source NOT IN (SELECT source FROM excl)""", "smp", "src", "excl", "sided")
+def store_status(t: Tables) -> DataFrame:
+    states = V2.job_states(t.samples().select("source", F.when(F.col("accepted"), "done").otherwise("queued").alias("state")), t.exclusions())
+    return V2.status(t.samples(), t.sources(), t.exclusions(), P.pair_status(sided(t)), states)
+
+
 @query("""SELECT CAST(interval AS BIGINT) AS interval, dimension, name, count(*) AS n FROM (
   SELECT doc_id // 100 AS interval, 'lang' AS dimension, lang AS name FROM documents
   UNION ALL SELECT doc_id // 100, 'source', source FROM documents) GROUP BY 1, 2, 3""")

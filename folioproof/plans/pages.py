@@ -248,6 +248,15 @@ def decoded_rows(t: Tables) -> DataFrame:
     return G.to_source(G.decode_rows(raw)).select("vec_id", F.round("score", 6).alias("score"), *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+@query("""SELECT vec_id, unnest(list_filter([CASE WHEN vec_id * 97 % 4000 > 3548 THEN 'row' END, CASE WHEN 6 * CAST(embedding[5] AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'objectness' END,
+  CASE WHEN greatest(abs(CAST(embedding[6] AS DOUBLE)), abs(CAST(embedding[7] AS DOUBLE))) * 4 > 1 THEN 'class-probability' END], lambda x: x IS NOT NULL)) AS code FROM embeddings""")
+def detector_row_violations(t: Tables) -> DataFrame:
+    raw = t.embeddings.select(
+        "vec_id", (F.col("vec_id") * 97 % 4000).alias("row"), V.dim(0).alias("dx"), V.dim(1).alias("dy"), V.dim(2).alias("dw"), V.dim(3).alias("dh"), (6 * V.dim(4)).alias("objectness"),
+        F.array(F.abs(V.dim(5)) * 4, F.abs(V.dim(6)) * 4).alias("class_probabilities"))
+    return G.raw_violations(raw).select("vec_id", "code")
+
+
 # --- labels -----------------------------------------------------------------
 
 _text = "array_to_string([['.', 'P', 'N', 'B', 'R', 'Q', 'K', 'p', 'n', 'b', 'r', 'q', 'k'][c + 1] FOR c IN list_slice(o, {0}, {1})], '')"
@@ -352,6 +361,11 @@ def recipe_square_coverage(t: Tables) -> DataFrame:
     return C.recipe_counters(made(t)).where(F.col("counter").isin("classes", "class_background", "set_class_background", "set_effect_class_background", "joint_conditions"))
 
 
+@query("""SELECT CAST(sum(CASE WHEN kind = 'boards' THEN nb ELSE 0 END) AS BIGINT) AS training_boards, CAST(sum(CASE WHEN kind = 'partial' THEN nb ELSE 0 END) AS BIGINT) AS unsupported_boards FROM rcp""", "rcp")
+def recipe_totals(t: Tables) -> DataFrame:
+    return C.recipe_totals(made(t)).select("training_boards", "unsupported_boards")
+
+
 @query("SELECT 'x' AS gate, 'y' AS cell WHERE false")
 def recipe_gate(t: Tables) -> DataFrame:
     return C.recipe_gate(keep(C.recipe_counters(made(t))), SETS, R.EFFECTS)
