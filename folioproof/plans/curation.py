@@ -18,8 +18,8 @@ view("token", """SELECT id, split, 'document' AS kind, id AS value FROM {src}
   UNION SELECT id, split, 'edition', 'ed' || n FROM {src}
   UNION SELECT id, split, 'artwork', 'art' || (n // 4) FROM {src}
   UNION SELECT id, split, 'parent', 'par' || n FROM {src}""")
-view("excl", """SELECT source, 'toxic' AS reason FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
-  GROUP BY source HAVING count(*) >= 4""")
+view("excl", """SELECT source, 'toxic' AS reason FROM documents LEFT JOIN labels USING (doc_id)
+  GROUP BY source HAVING count(*) FILTER (WHERE toxic = 1) * 100 >= count(*) * 7""")
 view("smp", """SELECT d.doc_id AS id, source, d.doc_id AS page, sha256(text) AS sha,
   CASE lang WHEN 'en' THEN 'boards' WHEN 'fr' THEN 'negative' WHEN 'de' THEN 'partial' ELSE 'unsupported' END AS kind,
   n_chars AS width, n_chars // 2 + 1 AS height, d.doc_id % 3 AS revision, lang AS content,

@@ -39,9 +39,10 @@ def sources(documents: DataFrame) -> DataFrame:
 
 
 def exclusions(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sources with four or more toxic documents."""
-    bad = documents.select("doc_id", "source").join(labels.where("toxic = 1").select("doc_id"), "doc_id")
-    return bad.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("source", F.lit("toxic").alias("reason"))
+    """Sources of which at least seven in a hundred documents are toxic."""
+    rows = documents.select("doc_id", "source").join(labels.select("doc_id", "toxic"), "doc_id", "left")
+    shares = rows.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count(F.lit(1)).alias("n"))
+    return shares.where("bad * 100 >= n * 7").select("source", F.lit("toxic").alias("reason"))
 
 
 def samples(documents: DataFrame, labels: DataFrame) -> DataFrame:
