@@ -70,9 +70,10 @@ class WordIds:
             return b"".join(map(self.part.__getitem__, _ASCII_PARTS.findall(word.decode().lower())))
         text = word.decode("utf-8", "replace")
         core = text.strip(".,;:!?()[]-*#$%&\"")
-        if core.isalpha() and unicodedata.is_normalized("NFC", text):
+        plain = self.tokenizer.normalizer.normalize_str(core)
+        if plain.isalpha() and unicodedata.is_normalized("NFC", text):
             lead, _, tail = text.partition(core)
-            body = "".join(map(self.letters.__getitem__, self.tokenizer.normalizer.normalize_str(core).encode()))
+            body = "".join(map(self.letters.__getitem__, plain.encode()))
             return b"".join([self.part[lead] if lead else b"", self.part[body], self.part[tail] if tail else b""])
         return self._whole(text)
 
