@@ -6,14 +6,13 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
 from .shared import put
-from .tokens import WordIds
+from .tokens import word_ids
 
 CAPACITY = 4096
 #: Rests up to this length stay whole; they are their own class.
@@ -46,17 +45,16 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = CAPAC
     """
     context = docs.sparkSession.sparkContext
     path = context.broadcast(vocabulary)
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task, filled = WordIds(path.value), TaskContext.get().partitionId(), defaultdict(int)
+        ids, task, filled = word_ids(path.value), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for part in W.blocks(batch, "t"):
-                data, offsets = W.flat(part.column("t"))
-                raw, ends = data.tobytes(), offsets.tolist()
+            for part in W.blocks(batch, "t", 2 * W.BLOCK_BYTES):
+                found, bounds = ids(part.column("t"), end)
+                raw, bounds = memoryview(found.astype("<u4").tobytes()), bounds.tolist()
                 row, start, length, crc, total, place = [], [], [], [], [], []
                 for i in range(len(part)):
-                    own = memoryview(ids(raw[ends[i]:ends[i + 1]]) + tail)
+                    own = raw[4 * bounds[i]:4 * bounds[i + 1]]
                     at, n = 0, len(own) // 4
                     for size in cut(n, capacity):
                         row.append(i)
