@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Tables
-from . import decontaminate, packing, url_rules
+from . import decontaminate, packing, quality, toxicity, url_rules
+from .labelled import fold
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +19,13 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
+@query
+def op3_quality(t: Tables) -> DataFrame:
+    model = quality.train(t.documents, t.labels, fold("doc_id", 5) != 0)
+    return quality.score(t.documents, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "difference")
+
+
 #: The rules of op4.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -86,3 +94,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(placed.n, 0)
        coalesce(placed.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN placed USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op10_toxicity(t: Tables) -> DataFrame:
+    model = toxicity.train(t.documents, t.labels, fold("doc_id", 4) != 2)
+    return toxicity.score(t.documents, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))

@@ -34,24 +34,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Recent(dict):
-    """A memory of two generations: what is looked up stays, what is not is forgotten in time."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class WordIds:
     """Ids equal to ``encode(text, add_special_tokens=False)`` of the whole text.
 
@@ -67,7 +49,7 @@ class WordIds:
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.memory = Recent(self._word)
+        self.memory = W.Recent(self._word, REMEMBERED)
 
     def _merge(self, part: str) -> list[int]:
         return [t.id for t in self.model.tokenize(part)]
@@ -112,7 +94,7 @@ class WordIds:
     @staticmethod
     def _has_mark(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Parts that hold a ``<``: their case matters."""
-        return np.unique(np.searchsorted(ends, np.flatnonzero(data == ord("<")), "right"))
+        return W.unique(np.searchsorted(ends, np.flatnonzero(data == ord("<")), "right"))
 
     @staticmethod
     def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -52,6 +52,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def distinct(self, memory: dict) -> tuple[list, np.ndarray]:
+        """(what ``memory`` holds for each distinct word, the index into that list for each word)."""
+        _, first, inverse = np.unique(self.hashes, return_index=True, return_inverse=True)
+        raw = self.data.tobytes().lower()
+        return [memory[raw[a:b]] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist())], inverse
+
     def text(self, first: int, last: int) -> bytes:
         """Words first..last-1 in normal form: lower case, one blank between."""
         d, s, e = self.data, self.starts, self.ends
@@ -135,6 +141,30 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
         a = b
 
 
+class Recent(dict):
+    """A memory of two generations: what is looked up stays, what is not is forgotten in time."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def unique(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which is faster than hashing for long arrays)."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def runs(at: np.ndarray) -> list[tuple[int, int]]:
     """Sorted positions as half-open runs of neighbours."""
     if not len(at):
