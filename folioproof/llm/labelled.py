@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Most documents of each class, and most characters of a document, that a fit reads: with
-#: one byte a character 2 x 3,000 x 32,768 bytes, 200 MB, come to the driver at the very most.
-PER_CLASS, MOST_CHARS = 3_000, 32_768
+#: one byte a character 2 x 2,000 x 32,768 bytes, 131 MB, come to the driver at the very most.
+PER_CLASS, MOST_CHARS = 2_000, 32_768
 
 
 @dataclass

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Tables
-from . import decontaminate, packing, quality, toxicity, url_rules
+from . import decontaminate, jaccard, packing, quality, toxicity, url_rules
 from .labelled import fold
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -56,6 +56,32 @@ FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id AND f.k = 1
 """
 
 
+@query
+def op5_jaccard_join(t: Tables) -> DataFrame:
+    return jaccard.linked(t.documents)
+
+
+SQL["op5_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + least(4, len(w)) - 1], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, CAST(coalesce(any_value(z.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN sizes z USING (doc_id) GROUP BY r.doc_id
+"""
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
