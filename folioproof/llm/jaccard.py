@@ -1,8 +1,11 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A text's set is its distinct n-word shingles, as 64-bit hashes in one global order: shingles
-that are common in the corpus last, otherwise by hash.  Texts that link must share a shingle
-among the first of each (the prefix).  Texts with the same prefix and size form a group.
+A text's set is its distinct n-word shingles, as 64-bit hashes in one global order, rare
+ones first: by how often their bucket was met where that stands out (repeated passages), then
+by how often their words are (chance repeats), then by hash.  The order only has to be the
+same for all texts; the better it fits the corpus, the fewer pairs are met in vain.  Texts
+that link must share some shingles among the first of each (the prefix).  Texts with the same
+prefix and size form a group.
 
 Pairs are not listed inside a crowded prefix shingle.  Each of its groups first meets the
 shingle's smallest one only; verified links join them into components; then whatever is not
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.components import components
 from ..plans.session import keep, shuffle_partitions
 from . import words as W
-from .shared import meet, put
+from .shared import among, meet, put
 
 N, PERCENT = 4, 85
 #: Hash buckets of shingle counts: at most so many numbers come to the driver.
@@ -32,66 +35,103 @@ _COMMON_TIMES, _COMMON_LEAST = 8, 64
 _BITS = [f"b{i}" for i in range(8)]
 
 
-def token_sets(w: W.Words, n: int = N) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer than ``n`` words make one shingle of them all."""
-    counts, at = w.counts(), []
+def _shingles(w: W.Words, n: int) -> list[tuple[np.ndarray, int, int]]:
+    """(hashes, first word, words of each) for each text; fewer than ``n`` words make one shingle of them all."""
+    out = []
     start, h = w.windows(n)
     bounds = np.searchsorted(start, w.bounds)
-    for i, c in enumerate(counts.tolist()):
+    for i, c in enumerate(w.counts().tolist()):
+        a = int(w.bounds[i])
         if c >= n:
-            at.append(W.unique(h[bounds[i]:bounds[i + 1]]))
-        elif c:
-            a = int(w.bounds[i])
-            at.append(W.chain(w.hashes[a:a + c], c))
+            out.append((h[bounds[i]:bounds[i + 1]], a, n))
         else:
-            at.append(np.empty(0, np.uint64))
-    return at
+            out.append((W.chain(w.hashes[a:a + c], c) if c else np.empty(0, np.uint64), a, c))
+    return out
+
+
+def token_sets(w: W.Words, n: int = N) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    return [W.unique(h) for h, _, _ in _shingles(w, n)]
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> W.U(64 - _COMMON_BITS)).astype(np.int64)
 
 
-def _common(docs: DataFrame, n: int) -> np.ndarray:
-    """How many texts hold the shingles of each bucket, for buckets that stand out in some task."""
+class Order:
+    """Corpus counts that rank shingles: rare ones first."""
+
+    def __init__(self, shingles: np.ndarray, words: np.ndarray, total: int) -> None:
+        self.shingles = shingles
+        floor = max(1.0, total / (1 << _COMMON_BITS))
+        # Quarters of a binary logarithm of a word's share; all words that do not stand out are alike.
+        self.words = np.round(4 * np.log2(np.maximum(words, floor) / floor)).astype(np.int32)
+
+    def sorted(self, w: W.Words, hashes: np.ndarray, first: int, size: int) -> np.ndarray:
+        """Distinct shingles, rarest first."""
+        rank = self.words[_bucket(w.hashes[first:first + len(hashes) + size - 1])]
+        total = np.r_[0, np.cumsum(rank)]
+        chance = total[size:] - total[:-size]
+        distinct, at = np.unique(hashes, return_index=True)
+        return distinct[np.lexsort((distinct, chance[at], self.shingles[_bucket(distinct)]))]
+
+
+def _order(docs: DataFrame, n: int) -> Order:
+    """How many texts hold the shingles, and how often texts have the words, of each bucket that stands out in some task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << _COMMON_BITS, np.int64)
+        size = 1 << _COMMON_BITS
+        held, said = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for part in W.blocks(batch, "t"):
-                sets = token_sets(W.words(part.column("t"), W.SPACED), n)
-                held += np.bincount((np.concatenate(sets) >> W.U(64 - _COMMON_BITS)).astype(np.int64), minlength=1 << _COMMON_BITS)
-        at = np.flatnonzero(held > max(_COMMON_LEAST, _COMMON_TIMES * held.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["bucket", "held"])
-
-    out = np.zeros(1 << _COMMON_BITS, np.int64)
-    rows = docs.select("t").mapInArrow(run, "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held")).toArrow()
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
+                w = W.words(part.column("t"), W.SPACED)
+                held += np.bincount(_bucket(np.concatenate(token_sets(w, n))), minlength=size)
+                said += np.bincount(_bucket(w.hashes), minlength=size)
+        for kind, counts in enumerate((held, said)):
+            at = np.flatnonzero(counts > max(_COMMON_LEAST, _COMMON_TIMES * counts.mean()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at, pa.int32()), pa.array(counts[at])],
+                                             names=["kind", "bucket", "met"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([int(said.sum())], pa.int64())],
+                                         names=["kind", "bucket", "met"])
+
+    rows = (docs.select("t").mapInArrow(run, "kind int, bucket int, met long").groupBy("kind", "bucket")
+            .agg(F.sum("met").alias("met")).toArrow())
+    kind, bucket, met = (c.to_numpy() for c in rows.columns)
+    tables = np.zeros((2, 1 << _COMMON_BITS), np.int64)
+    for k in (0, 1):
+        tables[k, bucket[kind == k]] = met[kind == k]
+    return Order(tables[0], tables[1], int(met[kind == 2].sum()))
+
+
+def asked(n: int) -> int:
+    """How many prefix shingles a text of ``n`` shingles must share with a partner."""
+    return 1 + n // 100
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Two sets with the asked share have a common member among the first so many of either."""
-    return n - -(-percent * n // 100) + 1
+    """Two sets with the asked share have asked(smaller) members in common among the first so many of either."""
+    return min(n, n - -(-percent * n // 100) + asked(n))
 
 
 def sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(k, n, set, prefix, b0..b7) of each row (k, t); ``set`` names the set, b are parities of its hashes in 512 buckets."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, n))
+    order = docs.sparkSession.sparkContext.broadcast(_order(docs, n))
     kind = docs.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = common.value
         for batch in batches:
             for part in W.blocks(batch, "t"):
+                w = W.words(part.column("t"), W.SPACED)
                 names, prefixes, sizes = [], [], []
                 bits = np.zeros((len(part), 8), np.int64)
-                for i, x in enumerate(token_sets(W.words(part.column("t"), W.SPACED), n)):
-                    size = len(x)
-                    sizes.append(size)
-                    two = np.array([W.mix(x).sum(), W.mix(x ^ W.U(0x5851F42D4C957F2D)).sum(), size], np.uint64)
+                for i, (h, first, size) in enumerate(_shingles(w, n)):
+                    x = order.value.sorted(w, h, first, size) if len(h) else h
+                    sizes.append(len(x))
+                    two = np.array([W.mix(x).sum(), W.mix(x ^ W.U(0x5851F42D4C957F2D)).sum(), len(x)], np.uint64)
                     names.append(two.tobytes())
                     odd = np.bincount((x >> W.U(55)).astype(np.int64), minlength=512) & 1
                     bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                    rank = held[(x >> W.U(64 - _COMMON_BITS)).astype(np.int64)]
-                    x = x[np.argsort(rank, kind="stable")] if rank.any() else x
-                    prefixes.append(x[:prefix_length(size, percent) if size else 0].view(np.int64))
+                    prefixes.append(x[:prefix_length(len(x), percent) if len(x) else 0].view(np.int64))
                 ends = np.cumsum([0, *map(len, prefixes)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("k"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
@@ -141,7 +181,7 @@ def _shared(postings: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the share; ``a`` repeats, so partners stream past its set."""
     wanted = pairs.select(F.col("a").alias("a"), F.col("b").alias("u")).unionByName(pairs.select("a", F.col("a").alias("u"))).distinct()
-    rows = wanted.join(texts, wanted.u == texts.k).select("a", (F.col("u") == F.col("a")).alias("own"), "u", "t")
+    rows = wanted.join(among(texts, "k", wanted, "u"), F.col("u") == F.col("k")).select("a", (F.col("u") == F.col("a")).alias("own"), "u", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, mine = None, []
@@ -178,12 +218,13 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_
     rows = sets(source, n, percent)
     full = rows.where("n > 0 AND k IS NOT NULL")
     # Equal sets are one unit, named by its smallest id.
-    units = put(full.groupBy("set").agg(F.min("k").alias("u"), F.count(F.lit(1)).alias("copies")), "units")
-    first = full.join(units.select("set", F.col("u").alias("k")), ["set", "k"]).dropDuplicates(["set"])
-    grouped = put(first.withColumn("p", F.xxhash64("prefix")), "first")
+    units = full.groupBy("set").agg(F.min("k").alias("u"), F.count(F.lit(1)).alias("copies"),
+                                    F.min_by(F.struct("n", "prefix", *_BITS), "k").alias("_s"))
+    units = put(units.select("set", "u", "copies", "_s.*").withColumn("p", F.xxhash64("prefix")), "units")
     # Units with equal size and prefix are one group, named by its smallest unit.
-    groups = grouped.groupBy("n", "p").agg(F.min("k").alias("g"), F.any_value("prefix").alias("prefix"))
-    members = put(grouped.select("n", "p", F.col("k").alias("u"), *_BITS).join(groups.select("n", "p", "g"), ["n", "p"]).drop("p"), "members")
+    groups = units.groupBy("n", "p").agg(F.min("u").alias("g"), F.any_value("prefix").alias("prefix"))
+    names = units.groupBy("n", "p").agg(F.min("u").alias("g"))
+    members = put(units.select("n", "p", "u", *_BITS).join(names, ["n", "p"]).drop("p"), "members")
     shared = put(_shared(groups.select(F.explode("prefix").alias("token"), "g", "n")), "shared")
 
     # Each group against the head of its tokens, each unit against the head of its group.
@@ -199,17 +240,22 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_
     named = members.join(labels, "u", "left").withColumn("c", F.coalesce("c", "u"))
     named = put(named, "named")
     head_c = named.where("u = g").select(F.col("g").alias("head"), F.col("c").alias("head_c"))
-    tokens = shared.select("token", F.col("head").alias("g")).unionByName(shared.select("token", "g")).distinct()
-    tokens = tokens.unionByName(named.where("u <> g").select(F.xxhash64(F.lit("group"), "g").alias("token"), "g").distinct())
-    head_of = shared.select("token", "head").distinct().unionByName(
-        named.where("u <> g").select(F.xxhash64(F.lit("group"), "g").alias("token"), F.col("g").alias("head")).distinct())
-    head_of = head_of.join(head_c, "head").select("token", "head_c")
-    at = tokens.join(named, "g").join(head_of, "token")
-    outside = at.where("c <> head_c").alias("x")
+    # Members of one group share its whole prefix: they meet in a token of their own that counts for all.
+    own = F.xxhash64(F.lit("group"), "g")
+    crowd = named.where("u <> g").select("g").distinct()
+    tokens = (shared.select("token", "g").unionByName(shared.select("token", F.col("head").alias("g")).distinct())
+              .select("token", "g", F.lit(1).alias("counts")).unionByName(crowd.select(own.alias("token"), "g", F.lit(1 << 30).alias("counts"))))
+    head_of = shared.select("token", "head").distinct().unionByName(crowd.select(own.alias("token"), F.col("g").alias("head")))
+    at = tokens.join(named, "g").join(head_of.join(head_c, "head").select("token", "head_c"), "token")
+    outside = at.where("c <> head_c")
     every = at.join(outside.select("token").distinct(), "token", "left_semi").alias("y")
-    more = outside.join(every, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c"))
-                        & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent))
-    more = more.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct()
+    x = outside.alias("x")
+    # Each pair once: from its smaller unit if both are outside.
+    once = (F.col("y.c") == F.col("y.head_c")) | (F.col("x.u") < F.col("y.u"))
+    more = x.join(every, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & once
+                  & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent))
+    more = (more.groupBy(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b"))
+            .agg(F.sum("x.counts").alias("met"), F.min(F.least("x.n", "y.n")).alias("n")).where("met >= 1 + n div 100").select("a", "b"))
     links = keep(_verified(keep(more), texts, n, percent).unionByName(links))
     final = units.join(_labels(links), "u", "left").select("set", "copies", F.coalesce("c", "u").alias("component_id"))
     total = full.count()

@@ -29,3 +29,24 @@ def meet(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) ->
     hot, cold = table.where(F.col(count) > limit), table.where(F.col(count) <= limit)
     return rows.join(F.broadcast(hot), key).unionByName(
         rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+#: Bits of the map of wanted ids: 1 MB whatever the size.
+_MAP_BITS = 1 << 23
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` whose ``key`` may be among the wanted ids: a filter before a shuffle, never after it.
+
+    The map of hashed ids has a fixed size and is broadcast; with very many ids it lets
+    more rows through, but never holds back a wanted one.
+    """
+    def place(name: str):
+        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(_MAP_BITS)) + 1
+
+    maps = wanted.select(place(wanted_key).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_map"))
+    bit = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("_at", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_at"))
+            .join(F.broadcast(maps), "_bucket").where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("_at", "_bucket", "_map"))
