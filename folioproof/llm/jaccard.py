@@ -246,6 +246,9 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_
     tokens = (shared.select("token", "g").unionByName(shared.select("token", F.col("head").alias("g")).distinct())
               .select("token", "g", F.lit(1).alias("counts")).unionByName(crowd.select(own.alias("token"), "g", F.lit(1 << 30).alias("counts"))))
     head_of = shared.select("token", "head").distinct().unionByName(crowd.select(own.alias("token"), F.col("g").alias("head")))
+    # A unit with fewer shared shingles than its smallest partner asks for has no partner left.
+    able = tokens.groupBy("g").agg(F.sum("counts").alias("met"))
+    named = named.join(able, "g").where(f"met >= 1 + (n * {percent} div 100) div 100").drop("met")
     at = tokens.join(named, "g").join(head_of.join(head_c, "head").select("token", "head_c"), "token")
     outside = at.where("c <> head_c")
     every = at.join(outside.select("token").distinct(), "token", "left_semi").alias("y")
