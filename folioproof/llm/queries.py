@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Tables
-from . import decontaminate, jaccard, packing, quality, toxicity, url_rules
+from . import decontaminate, jaccard, packing, passages, quality, toxicity, url_rules
 from .labelled import fold
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
+@query
+def op1_substring_dedup(t: Tables) -> DataFrame:
+    return passages.repeats(t.documents)
+
+
 @query
 def op3_quality(t: Tables) -> DataFrame:
     model = quality.train(t.documents, t.labels, fold("doc_id", 5) != 0)
