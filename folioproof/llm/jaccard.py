@@ -228,7 +228,9 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_
     shared = put(_shared(groups.select(F.explode("prefix").alias("token"), "g", "n")), "shared")
 
     # Each group against the head of its tokens, each unit against the head of its group.
-    heads = (shared.where(_sizes_fit(F.col("n"), F.col("head_n"), percent)).select("g", "head").distinct()
+    # (those that share at least half of what is asked; the others are left to the second meeting).
+    heads = (shared.where(_sizes_fit(F.col("n"), F.col("head_n"), percent)).groupBy("g", "head")
+             .agg(F.count(F.lit(1)).alias("met"), F.min(F.least("n", "head_n")).alias("n")).where("2 * met >= 1 + n div 100")
              .join(members.select("g", "u"), "g").select(F.col("head").alias("a"), F.col("u").alias("b")))
     inside = members.where("u <> g").select(F.col("g").alias("a"), F.col("u").alias("b"))
     pairs = _near(heads.unionByName(inside).distinct(), members, percent)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Tables
-from . import decontaminate, jaccard, packing, passages, quality, toxicity, url_rules
+from . import decontaminate, jaccard, licenses, packing, passages, quality, spots, toxicity, url_rules, warc_zip
 from .labelled import fold
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_substring_dedup(t: Tables) -> DataFrame:
     return passages.repeats(t.documents)
 
 
+@query
+def op2_warc(t: Tables) -> DataFrame:
+    return warc_zip.round_trip(t.pages)
+
+
 @query
 def op3_quality(t: Tables) -> DataFrame:
     model = quality.train(t.documents, t.labels, fold("doc_id", 5) != 0)
@@ -132,3 +137,13 @@ def op10_toxicity(t: Tables) -> DataFrame:
     model = toxicity.train(t.documents, t.labels, fold("doc_id", 4) != 2)
     return toxicity.score(t.documents, model).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
+
+
+@query
+def op7_licenses(t: Tables) -> DataFrame:
+    return licenses.scan(t.documents)
+
+
+@query
+def op8_spot_signatures(t: Tables) -> DataFrame:
+    return spots.fingerprints(t.documents)
