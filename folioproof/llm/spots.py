@@ -19,7 +19,7 @@ au avec ce dans de des du elle en est et il la le les par pas pour que qui sur u
 al como con de del el en es la las los más no para por que se su un una y""".split()
 #: Content words of a signature, and words after a common one among which they are sought.
 CHAIN, REACH = 2, 8
-MOST_BANDS = 256
+MOST_BANDS = 1024
 
 
 def _let(value: Column, then) -> Column:
