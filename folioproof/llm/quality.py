@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .labelled import Sample, sample
+from .labelled import Sample, learn
 
 #: Bytes of a dictionary, and of the pieces that texts are compressed in.  Pieces keep the
 #: dictionary's effect alike along a text; all pieces of a text are summed.
@@ -100,8 +100,8 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return float(beta[0]), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", doc: str = "doc_id", text: str = "text") -> Model:
-    return fit(sample(docs, labels, label, learn, doc, text))
+def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", doc: str = "doc_id", text: str = "text") -> Model:
+    return learn(docs, labels, label, use, fit, doc, text)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .labelled import Sample, sample
+from .labelled import Sample, learn
 
 FEATURES = 1 << 18
 #: Beginnings of a word, in characters, that are features beside the word itself.
@@ -90,12 +90,17 @@ def fit(given: Sample, rounds: int = 300, rate: float = 0.05, ridge: float = 5e-
     # Documents of either label for each feature.
     toxic = label == 1
     pairs = W.unique(w.doc.astype(np.int64) * len(listed) + kind)
-    owners, held = pairs // len(listed), pairs % len(listed)
-    begin, n = np.cumsum(size) - size, size[held]
-    flat = table[np.arange(int(n.sum())) + np.repeat(begin[held] - (np.cumsum(n) - n), n)].astype(np.int64)
-    seen = W.unique(np.repeat(owners, n) * FEATURES + flat)
-    ill = toxic[seen // FEATURES]
-    bad, fine = (np.bincount(seen[x] % FEATURES, minlength=FEATURES) for x in (ill, ~ill))
+    begin = np.cumsum(size) - size
+    bad, fine = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    edges = np.searchsorted(pairs, np.arange(0, len(label) + 100, 100) * len(listed))
+    for a, b in zip(edges[:-1], edges[1:]):  # a hundred documents at a time
+        owners, held = pairs[a:b] // len(listed), pairs[a:b] % len(listed)
+        n = size[held]
+        flat = table[np.arange(int(n.sum())) + np.repeat(begin[held] - (np.cumsum(n) - n), n)].astype(np.int64)
+        seen = W.unique(np.repeat(owners, n) * FEATURES + flat)
+        ill = toxic[seen // FEATURES]
+        bad += np.bincount(seen[ill] % FEATURES, minlength=FEATURES)
+        fine += np.bincount(seen[~ill] % FEATURES, minlength=FEATURES)
     known = (bad >= SUPPORT) & (bad / toxic.sum() >= LIFT * (fine + 0.5) / (len(label) - toxic.sum() + 1))
     used = known[table]
     table, owner = table[used], owner[used]
@@ -125,8 +130,8 @@ def fit(given: Sample, rounds: int = 300, rate: float = 0.05, ridge: float = 5e-
     return Model(theta, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", doc: str = "doc_id", text: str = "text") -> Model:
-    return fit(sample(docs, labels, label, learn, doc, text))
+def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", doc: str = "doc_id", text: str = "text") -> Model:
+    return learn(docs, labels, label, use, fit, doc, text)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc: str = "doc_id", text: str = "text") -> DataFrame:
