@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from . import words as W
 
 #: Entries of each of the two generations of remembered words.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)

@@ -19,7 +19,7 @@ BEGINNINGS = range(3, 9)
 #: A feature needs this many toxic sample documents, and so many times the share of toxic
 #: documents that it has of the others.
 SUPPORT, LIFT = 3, 2.0
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
 
