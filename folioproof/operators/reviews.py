@@ -87,7 +87,7 @@ def proposal_scope(samples: DataFrame, sources: DataFrame, exclusions: DataFrame
                    limit: int | None = None) -> DataFrame:
     """Pages of a proposal run; qualification and regression are never a scope."""
     if scope not in SCOPES:
-        raise ValueError("proposal scope must exclude qualification")
+        raise ValueError(f"no proposals are made for {scope!r}")
     split, accepted = SCOPES[scope]
     rows = (samples.join(exclusions.select("source"), "source", "left_anti")
             .join(sources.where(F.col("split") == split).select(F.col("id").alias("source")), "source"))

@@ -34,7 +34,7 @@ class Registry:
         if capability not in ("localization", "labels"):
             raise ValueError("unknown capability")
         if self._loaders.get((capability, name), (None, sha256))[1] != sha256:
-            raise ValueError("provider id already has another immutable manifest")
+            raise ValueError(f"{name} is registered with other contents")
         self._loaders[capability, name] = (loader, sha256)
 
     def get(self, capability: str, name: str) -> tuple[Callable[[], object], str]:

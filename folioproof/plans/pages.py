@@ -599,7 +599,7 @@ def stream_without_retries(t: Tables) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("SELECT user_id AS worker, epoch_ms(max(ts)) AS last_ms FROM events GROUP BY 1")
+@query("SELECT user_id AS worker, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY 1")
 def stream_liveness(t: Tables) -> DataFrame:
     beats = _stream(t, "events").select(F.col("user_id").alias("worker"), F.col("ts").cast("timestamp").alias("at"))
     out = _drain(liveness(beats, 100), "liveness")
