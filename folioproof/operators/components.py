@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.session import keep
 from ..plans.skew import lookup
 
-MAX_ROUNDS = 60
-
 
 def lineage_tokens() -> Column:
     """All lineage tokens of a source as array<struct<kind, value>>."""
@@ -32,7 +30,7 @@ def _to_smallest(edges: DataFrame, hot_rows: int | None, total: int) -> DataFram
 
 
 def components(members: DataFrame, item: str = "item", key: str = "key",
-               hot_rows: int | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+               hot_rows: int | None = None) -> DataFrame:
     """(item, component): items sharing a key, transitively; the label is the smallest item.
 
     A key with n items becomes n-1 edges to its smallest item.  Then edges are rewired to
@@ -46,7 +44,7 @@ def components(members: DataFrame, item: str = "item", key: str = "key",
     total = pairs.count()
     edges = keep(lookup(pairs, heads, "k", "_rows", hot_rows, total).where("u <> v").select("u", "v").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (_to_smallest(both, hot_rows, 2 * total).where("v > u")
                  .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
@@ -58,8 +56,6 @@ def components(members: DataFrame, item: str = "item", key: str = "key",
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     items = pairs.select("u").distinct()
     return items.join(edges, "u", "left").select(
         F.col("u").alias(item), F.coalesce("v", "u").alias("component"))

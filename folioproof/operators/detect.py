@@ -357,8 +357,7 @@ def overall(pages: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame
                  (F.sum("error_sum") / F.greatest(F.lit(1), F.sum("matched"))).alias("box_error"))
 
 
-def operating_point(pages: DataFrame, truth: DataFrame, matches: DataFrame, keep_about: int = 1000,
-                    per_page: float = FALSE_PER_PAGE) -> DataFrame:
+def operating_point(pages: DataFrame, truth: DataFrame, matches: DataFrame, per_page: float = FALSE_PER_PAGE) -> DataFrame:
     """Score threshold of highest recall with few false detections on pages without a board.
 
     Matching visits detections in score order, so dropping low scores never changes an
@@ -370,13 +369,12 @@ def operating_point(pages: DataFrame, truth: DataFrame, matches: DataFrame, keep
     per_score = tagged.groupBy("score").agg(
         F.count_if(F.col("truths")[0].isNotNull()).alias("m"), F.count_if(F.col("has").isNull()).alias("f"))
     rows = ordered(per_score, [F.col("score").desc()])
-    curve = scan(rows, [], number="_n", sums={"matched": F.col("m"), "false": F.col("f")})
-    step = F.greatest(F.lit(1), F.floor(rows.agg(F.count(F.lit(1))).scalar() / keep_about))
+    curve = scan(rows, [], sums={"matched": F.col("m"), "false": F.col("f")})
     positives = F.greatest(F.lit(1), truth.agg(F.count(F.lit(1))).scalar())
     empty = F.greatest(F.lit(1), pages.join(boards, "page", "left_anti").agg(F.count(F.lit(1))).scalar())
-    thinned = curve.where((F.col("_n") - 1) % step == 0).select(
+    rates = curve.select(
         "score", (F.col("matched") / positives).alias("recall"), (F.col("false") / empty).alias("rate"))
-    best = thinned.where((F.col("rate") <= per_page) & (F.col("recall") > 0)).agg(
+    best = rates.where((F.col("rate") <= per_page) & (F.col("recall") > 0)).agg(
         F.max_by(F.struct("score", "recall", "rate"), F.struct("recall", "score")).alias("b"))
     return best.select(F.coalesce("b.score", F.lit(1.0)).alias("threshold"),
                        F.coalesce("b.recall", F.lit(0.0)).alias("recall"),

@@ -13,7 +13,10 @@ EXPORTED = ["train", "dev"]  # fixed values: qualification and regression never
 
 
 def selection(samples: DataFrame, sources: DataFrame, exclusions: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Accepted train/dev pages of active sources without the b side of confirmed duplicates."""
+    """Accepted train/dev pages of active sources without the b side of confirmed duplicates.
+
+    ``exclusions`` is the closure over lineage (``components.exclusion_closure``), not its seeds alone.
+    """
     return (samples.where("accepted").join(dropped, "id", "left_anti")
             .join(exclusions.select("source"), "source", "left_anti")
             .join(sources.where(F.col("split").isin(EXPORTED)).select(F.col("id").alias("source"), "split"), "source")

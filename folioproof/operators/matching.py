@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.session import keep
 
-MAX_ROUNDS = 10_000
-
 
 def claim_in_rounds(pairs: DataFrame, group: list[str], strength: Column) -> DataFrame:
     """Greedy matching of pairs (p, t) in descending ``strength``, which must be a total order
@@ -19,17 +17,13 @@ def claim_in_rounds(pairs: DataFrame, group: list[str], strength: Column) -> Dat
     """
     live = keep(pairs.select(*group, "p", "t", strength.alias("s")))
     taken = None
-    for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         by_p = live.groupBy(*group, "p").agg(F.max_by("t", "s").alias("t"))
         by_t = live.groupBy(*group, "t").agg(F.max_by("p", "s").alias("p"))
         now = keep(by_p.join(by_t, [*group, "p", "t"]).select(*group, "p", "t"))
         taken = now if taken is None else taken.unionByName(now)
         live = keep(live.join(now.select(*group, "p"), [*group, "p"], "left_anti")
                     .join(now.select(*group, "t"), [*group, "t"], "left_anti"))
-    else:
-        raise RuntimeError("matching did not finish")
     return pairs.select(*group, "p", "t").limit(0) if taken is None else taken
 
 
@@ -42,17 +36,13 @@ def dictate_in_rounds(pairs: DataFrame, group: list[str], turn: Column, liking:
     """
     live = keep(pairs.select(*group, "p", "t", turn.alias("turn"), liking.alias("liking")))
     taken = None
-    for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         wish = live.groupBy(*group, "p").agg(F.max_by("t", "liking").alias("t"))
         first = live.groupBy(*group, "t").agg(F.min_by("p", "turn").alias("p"))
         now = keep(wish.join(first, [*group, "p", "t"]).select(*group, "p", "t"))
         taken = now if taken is None else taken.unionByName(now)
         live = keep(live.join(now.select(*group, "p"), [*group, "p"], "left_anti")
                     .join(now.select(*group, "t"), [*group, "t"], "left_anti"))
-    else:
-        raise RuntimeError("matching did not finish")
     return pairs.select(*group, "p", "t").limit(0) if taken is None else taken
 
 
@@ -62,9 +52,7 @@ def suppress_in_rounds(nodes: DataFrame, edges: DataFrame, key: list[str]) -> Da
     waiting = keep(nodes.select(*key, "id"))
     links = keep(edges.select(*key, "hi", "lo"))
     kept = None
-    for _ in range(MAX_ROUNDS):
-        if waiting.isEmpty():
-            break
+    while not waiting.isEmpty():
         blocked = links.select(*key, F.col("lo").alias("id")).distinct()
         now = keep(waiting.join(blocked, [*key, "id"], "left_anti"))
         kept = now if kept is None else kept.unionByName(now)
@@ -73,6 +61,4 @@ def suppress_in_rounds(nodes: DataFrame, edges: DataFrame, key: list[str]) -> Da
         waiting = keep(waiting.join(now, [*key, "id"], "left_anti").join(gone, [*key, "id"], "left_anti"))
         links = keep(links.join(waiting.withColumnRenamed("id", "hi"), [*key, "hi"], "left_semi")
                      .join(waiting.withColumnRenamed("id", "lo"), [*key, "lo"], "left_semi"))
-    else:
-        raise RuntimeError("suppression did not finish")
     return nodes.select(*key, "id").limit(0) if kept is None else kept

@@ -1,10 +1,8 @@
 """Exact and near duplicates, and the decisions about them.
 
-A group of n equal rows is reported as n-1 links to its smallest id.  That is the
-same partition of the rows as all n(n-1)/2 pairs, the same side is dropped by a
-'duplicate' decision, and a group that spans two splits still has a cross-split link;
-but it stays linear when a third of the rows are copies.  Pair counts come from group
-sizes.
+A group of n equal rows is reported by links, not by its n(n-1)/2 pairs, so that it stays
+linear when a third of the rows are copies.  Where splits matter, links are made between
+active pages only, by way of one head per key and split.  Pair counts come from group sizes.
 """
 
 from __future__ import annotations
@@ -170,26 +168,96 @@ def settle(found: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max_by("reason", F.struct(rank, F.col("at"), tie)).alias("reason"))
 
 
-def with_sides(pairs: DataFrame, samples: DataFrame, sources: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Active pairs with source and split of both sides (samples: id, source)."""
-    active = (samples.select("id", "source").join(exclusions.select("source"), "source", "left_anti")
-              .join(sources.select(F.col("id").alias("source"), "split"), "source"))
-    # The smallest id of a large group is in every link of it: a hot key on side a.
+def active_pages(samples: DataFrame, sources: DataFrame, exclusions: DataFrame, *columns: str) -> DataFrame:
+    """(id, source, split, columns): pages of sources that are not excluded."""
+    return (samples.select("id", "source", *columns).join(exclusions.select("source"), "source", "left_anti")
+            .join(sources.select(F.col("id").alias("source"), "split"), "source").select("id", "source", "split", *columns))
+
+
+def beside(pairs: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b, ...) of which both sides are in ``pages``, with source, split and ``columns`` of each side."""
+    # One id may be in very many pairs: a hot key on its side.
     pairs = keep(pairs)
     total = pairs.count()
     for side in ("a", "b"):
-        found = active.select(F.col("id").alias(side), F.col("source").alias(f"source_{side}"),
-                              F.col("split").alias(f"split_{side}"))
+        found = pages.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("source", "split", *columns)])
         counted = found.join(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_rows")), side)
         pairs = lookup(pairs, counted, side, "_rows", total=total).drop("_rows")
     return pairs
 
 
-def pair_status(sided: DataFrame) -> DataFrame:
-    """Unresolved pairs: candidates within a split, blockers across splits."""
-    open_pair, same = F.col("decision").isNull(), F.col("split_a") == F.col("split_b")
-    return sided.agg(F.count_if(open_pair & same).alias("same_split_candidates"),
-                     F.count_if(open_pair & ~same).alias("cross_split_blockers"))
+def known_pairs(pages: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
+    """Decided pairs (a, b, decision) of equal active pages; equal pages can't be 'distinct', such a decision is void."""
+    asked = decisions.where("decision = 'duplicate' AND a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "decision").distinct()
+    return beside(asked, pages, key).where(F.col(f"{key}_a") == F.col(f"{key}_b")).drop(f"{key}_a", f"{key}_b")
+
+
+_SIDES = ["a", "b", "source_a", "split_a", "source_b", "split_b"]
+
+
+def _across(heads: str) -> Column:
+    """All pairs of an array of (split, id, source), the smaller id first: as many as pairs of splits."""
+    return F.flatten(F.transform(heads, lambda x: F.transform(F.filter(heads, lambda y: y["id"] > x["id"]), lambda y: F.struct(
+        x["id"].alias("a"), y["id"].alias("b"), x["source"].alias("source_a"), x["split"].alias("split_a"),
+        y["source"].alias("source_b"), y["split"].alias("split_b")))))
+
+
+def split_links(pages: DataFrame, key: str, decisions: DataFrame, reason: str = "exact", hot_rows: int | None = None) -> DataFrame:
+    """(a, b, reason, decision, source_a, split_a, source_b, split_b): links between equal active pages.
+
+    ``pages`` (id, source, split, ``key``) are active ones only, so an excluded page never
+    stands for others.  Each split of a key has a head, its smallest id: members link to the
+    head of their split and heads link across splits, so every pair of splits that shares a
+    key has a link and links stay linear.  Decided pairs are added whether links or not.
+    """
+    pages = keep(pages.where(F.col(key).isNotNull()))
+    per_split = pages.groupBy(key, "split").agg(F.min_by(F.struct("split", "id", "source"), "id").alias("h"), F.count(F.lit(1)).alias("n"))
+    # At most one entry per split, so the list is bounded by the split domain.
+    heads = keep(per_split.groupBy(key).agg(F.collect_list("h").alias("heads"), F.sum("n").alias("_rows")).where("_rows > 1"))
+    own = F.filter("heads", lambda h: h["split"] == F.col("split"))[0]
+    inside = (lookup(pages, heads, key, "_rows", hot_rows, pages.count()).withColumn("h", own).where("id <> h.id")
+              .select(F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("h.source").alias("source_a"), F.col("split").alias("split_a"),
+                      F.col("source").alias("source_b"), F.col("split").alias("split_b")))
+    across = heads.select(F.explode(_across("heads")).alias("p")).select("p.*")
+    links = inside.select(*_SIDES).unionByName(across)
+    known = keep(known_pairs(pages, key, decisions))
+    decided = links.join(known.select("a", "b", "decision"), ["a", "b"], "left")
+    others = known.join(links.select("a", "b"), ["a", "b"], "left_anti")
+    return decided.unionByName(others).withColumn("reason", F.lit(reason))
+
+
+def near_split_links(pages: DataFrame, code: str, k: int = NEAR_BITS, bits: int = 64, reason: str = "perceptual",
+                     blocks: int | None = None, hot_bucket: int = 5000) -> DataFrame:
+    """(a, b, distance, reason, source_a, split_a, source_b, split_b): links of active pages with equal or near codes.
+
+    Near is not transitive, so a code keeps a head in every split: each pair of near codes
+    links all heads of the one with all heads of the other, within and across splits.
+    """
+    nobody = pages.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit("duplicate").alias("decision")).limit(0)
+    same = split_links(pages, code, nobody).select(*_SIDES).withColumn("distance", F.lit(0))
+    heads = keep(pages.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code"), "split").agg(
+        F.min_by(F.struct("id", "source", "split"), "id").alias("h")))
+    near = near_code_pairs(heads.select("code").distinct(), "code", k, bits, blocks, hot_bucket)
+    both = (near.join(heads.select(F.col("code").alias("left"), F.col("h").alias("p")), "left")
+            .join(heads.select(F.col("code").alias("right"), F.col("h").alias("q")), "right")
+            .select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "distance"))
+    far = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.source").alias("source_a"), F.col("x.split").alias("split_a"),
+                      F.col("y.source").alias("source_b"), F.col("y.split").alias("split_b"), "distance")
+    return same.unionByName(far).withColumn("reason", F.lit(reason))
+
+
+def pair_status(pages: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
+    """Unresolved pairs of equal active pages: candidates within a split, blockers across splits.
+
+    All pairs are counted from group sizes, decided ones are taken off.
+    """
+    pages = keep(pages)
+    same = F.col("split_a") == F.col("split_b")
+    done = known_pairs(pages, key, decisions).agg(F.count_if(same).alias("_same"), F.count_if(~same).alias("_cross"))
+    return exact_pair_counts(pages.where(F.col(key).isNotNull()), key, "split").crossJoin(F.broadcast(done)).select(
+        (F.col("same_split_pairs") - F.col("_same")).cast("long").alias("same_split_candidates"),
+        (F.col("cross_split_pairs") - F.col("_cross")).cast("long").alias("cross_split_blockers"))
 
 
 def same_split_audit(sided: DataFrame, splits: list[str] | None = None) -> DataFrame:
@@ -213,27 +281,41 @@ def dropped_duplicates(sided: DataFrame) -> DataFrame:
     return sided.where("decision = 'duplicate'").select(F.col("b").alias("id")).distinct()
 
 
-def decide(sided: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Judge proposed decisions (a, b, decision) against the open pairs.
+def decide(pages: DataFrame, key: str, prior: DataFrame, decisions: DataFrame, reason: str = "exact") -> DataFrame:
+    """Judge proposed decisions (a, b, decision) on pairs of equal active pages, links or not.
 
     ``outcome`` is 'recorded' or the code of the rule that was broken.
     """
-    asked = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                             F.col("decision").alias("asked"))
-    known = sided.select("a", "b", "reason", F.col("decision").alias("prior"), "split_a", "split_b")
+    asked = keep(decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("decision").alias("asked")))
+    pages = keep(pages)
+    equal = beside(asked.select("a", "b").where("a <> b").distinct(), pages, key).where(F.col(f"{key}_a") == F.col(f"{key}_b"))
+    known = equal.select("a", "b", F.lit(reason).alias("reason"), "split_a", "split_b").join(
+        known_pairs(pages, key, prior).select("a", "b", F.col("decision").alias("prior")), ["a", "b"], "left")
     joined = asked.join(known, ["a", "b"], "left")
     outcome = (F.when(~F.col("asked").isin("distinct", "duplicate"), "invalid-decision")
                .when(F.col("reason").isNull(), "unknown-or-inactive")
                .when(F.col("prior").isNotNull(), "already-resolved")
                .when(F.col("split_a") == F.col("split_b"), "same-split")
-               .when(F.col("reason").isin("exact", "board-exact") & (F.col("asked") == "distinct"), "exact-not-distinct")
+               .when(F.col("asked") == "distinct", "exact-not-distinct")
                .otherwise("recorded"))
     return joined.select("a", "b", "asked", "reason", outcome.alias("outcome"))
 
 
-def carry_decisions(new_pairs: DataFrame, old_pairs: DataFrame) -> DataFrame:
-    """Rebuilt pairs keep a decision where pair and reason are unchanged (G6)."""
+def changed_pages(new: DataFrame, old: DataFrame, *content: str) -> DataFrame:
+    """(id) of pages whose ``content`` columns are not what they were, new pages included."""
+    return new.select("id", *content).join(old.select("id", *content), ["id", *content], "left_anti").select("id").distinct()
+
+
+def carry_decisions(new_pairs: DataFrame, old_pairs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rebuilt pairs keep a decision where pair and reason are unchanged (G6).
+
+    Board pairs are built from a page's boards, so those with a page in ``changed`` (id) start undecided.
+    """
     kept = old_pairs.where("decision is not null").select("a", "b", "reason", "decision")
+    board = kept.where(F.col("reason").startswith("board-"))
+    for side in ("a", "b"):
+        board = board.join(changed.select(F.col("id").alias(side)), side, "left_anti")
+    kept = kept.where(~F.col("reason").startswith("board-")).unionByName(board)
     return new_pairs.join(kept, ["a", "b", "reason"], "left")
 
 

@@ -84,7 +84,7 @@ def perspective(width: Column, height: Column, index: Column) -> Column:
     matrix = F.array(*[c.cast("double") for c in (
         F.lit(0.94), F.lit(0.0), width * 0.02, F.lit(0.0), F.lit(0.94), height * 0.02,
         F.when(index % 2 == 1, 0.035).otherwise(-0.025) / width, F.lit(0.025) / height, F.lit(1.0))])
-    return F.when((index < 100000) & (index % 5 == 4), matrix)
+    return F.when(index % 5 == 4, matrix)
 
 
 def recipes(indices: DataFrame, seed: str, sets: list[str] | None = None, index: str = "index",

@@ -20,17 +20,23 @@ view("token", """SELECT id, split, 'document' AS kind, id AS value FROM {src}
   UNION SELECT id, split, 'parent', 'par' || n FROM {src}""")
 view("excl", """SELECT source, 'toxic' AS reason FROM documents LEFT JOIN labels USING (doc_id)
   GROUP BY source HAVING count(*) FILTER (WHERE toxic = 1) * 100 >= count(*) * 7""")
+view("worst", """SELECT source FROM documents LEFT JOIN labels USING (doc_id)
+  GROUP BY source HAVING count(*) FILTER (WHERE toxic = 1) * 100 >= count(*) * 10""")
 view("smp", """SELECT d.doc_id AS id, source, d.doc_id AS page, sha256(text) AS sha,
   CASE lang WHEN 'en' THEN 'boards' WHEN 'fr' THEN 'negative' WHEN 'de' THEN 'partial' ELSE 'unsupported' END AS kind,
   n_chars AS width, n_chars // 2 + 1 AS height, d.doc_id % 3 AS revision, lang AS content,
   coalesce(quality = 1, false) AS accepted, CASE WHEN lang = 'en' THEN d.doc_id % 3 + 1 ELSE 0 END AS boards
   FROM documents d LEFT JOIN labels l USING (doc_id)""")
 view("star", """SELECT a, id AS b, 'exact' AS reason FROM (SELECT id, min(id) OVER (PARTITION BY sha) AS a FROM {smp}) WHERE a <> id""")
-view("pair", """SELECT a, b, reason, CASE b % 5 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'distinct' END AS decision FROM {star}""")
+view("said", """SELECT a, b, CASE b % 5 WHEN 0 THEN 'duplicate' ELSE 'distinct' END AS decision FROM {star} WHERE b % 5 < 2""")
 view("act", """SELECT s.id, s.source, o.split FROM {smp} s JOIN {src} o ON o.id = s.source
   WHERE s.source NOT IN (SELECT source FROM {excl})""")
-view("sided", """SELECT p.*, x.source AS source_a, y.source AS source_b, x.split AS split_a, y.split AS split_b
-  FROM {pair} p JOIN {act} x ON x.id = p.a JOIN {act} y ON y.id = p.b""")
+view("headed", """SELECT a.id, a.source, a.split, s.sha, a.id = min(a.id) OVER (PARTITION BY s.sha, a.split) AS head
+  FROM {act} a JOIN {smp} s ON s.id = a.id""")
+view("every", """SELECT p.id AS a, q.id AS b, 'exact' AS reason, d.decision, p.source AS source_a, q.source AS source_b, p.split AS split_a, q.split AS split_b,
+  p.head AND (q.head OR p.split = q.split) AS link
+  FROM {headed} p JOIN {headed} q ON p.sha = q.sha AND p.id < q.id LEFT JOIN {said} d ON d.a = p.id AND d.b = q.id AND d.decision = 'duplicate'""")
+view("sided", "SELECT * FROM {every} WHERE link OR decision IS NOT NULL")
 view("log", """SELECT event_id AS id, user_id AS sample, ts AS tm, event_type AS content, CAST(event_id % 7 AS VARCHAR) AS reviewer,
   event_type <> 'error' AS human, value AS seconds FROM events""")
 view("rev", """SELECT *, sum(changed) OVER (PARTITION BY sample ORDER BY tm, id) AS revision FROM (
@@ -38,13 +44,18 @@ view("rev", """SELECT *, sum(changed) OVER (PARTITION BY sample ORDER BY tm, id)
   FROM {log})""")
 
 
-def pair_table(t: Tables) -> DataFrame:
-    links = P.exact_links(t.samples(), "id", "sha")
-    return links.withColumn("decision", F.when(F.col("b") % 5 == 0, "duplicate").when(F.col("b") % 5 == 1, "distinct"))
+def decisions(t: Tables) -> DataFrame:
+    """Decisions of the time before any source was excluded."""
+    links = P.exact_links(t.samples(), "id", "sha").where("b % 5 < 2")
+    return links.select("a", "b", F.when(F.col("b") % 5 == 0, "duplicate").otherwise("distinct").alias("decision"))
+
+
+def active(t: Tables) -> DataFrame:
+    return P.active_pages(t.samples(), t.sources(), t.exclusions(), "sha")
 
 
 def sided(t: Tables) -> DataFrame:
-    return P.with_sides(pair_table(t), t.samples(), t.sources(), t.exclusions())
+    return P.split_links(active(t), "sha", decisions(t))
 
 
 # --- duplicates and leakage -------------------------------------------------
@@ -75,8 +86,7 @@ def exact_pair_counts(t: Tables) -> DataFrame:
 
 @query("SELECT id, source, split FROM act", "act")
 def active_samples(t: Tables) -> DataFrame:
-    active = t.samples().join(t.exclusions().select("source"), "source", "left_anti")
-    return active.join(t.sources().select(F.col("id").alias("source"), "split"), "source").select("id", "source", "split")
+    return P.active_pages(t.samples(), t.sources(), t.exclusions())
 
 
 _code = " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)" for i in range(60))
@@ -128,9 +138,9 @@ def board_duplicates(t: Tables) -> DataFrame:
 
 
 @query("""SELECT count(*) FILTER (WHERE decision IS NULL AND split_a = split_b) AS same_split_candidates,
-  count(*) FILTER (WHERE decision IS NULL AND split_a <> split_b) AS cross_split_blockers FROM sided""", "sided")
+  count(*) FILTER (WHERE decision IS NULL AND split_a <> split_b) AS cross_split_blockers FROM every""", "every")
 def pair_status(t: Tables) -> DataFrame:
-    return P.pair_status(sided(t))
+    return P.pair_status(active(t), "sha", decisions(t))
 
 
 @query("SELECT a, b, reason, split_a AS split FROM sided WHERE decision IS NULL AND split_a = split_b AND split_a IN ('train', 'dev')", "sided")
@@ -153,17 +163,42 @@ def dropped_duplicates(t: Tables) -> DataFrame:
   WHEN s.reason IS NULL THEN 'unknown-or-inactive' WHEN s.decision IS NOT NULL THEN 'already-resolved'
   WHEN s.split_a = s.split_b THEN 'same-split' WHEN d.asked = 'distinct' THEN 'exact-not-distinct' ELSE 'recorded' END AS outcome
   FROM (SELECT a, b, CASE b % 7 WHEN 0 THEN 'maybe' WHEN 1 THEN 'distinct' ELSE 'duplicate' END AS asked FROM star) d
-  LEFT JOIN sided s ON s.a = d.a AND s.b = d.b""", "star", "sided")
+  LEFT JOIN every s ON s.a = d.a AND s.b = d.b""", "star", "every")
 def duplicate_decisions(t: Tables) -> DataFrame:
     asked = P.exact_links(t.samples(), "id", "sha").select(
         F.col("b").alias("a"), F.col("a").alias("b"),
         F.when(F.col("b") % 7 == 0, "maybe").when(F.col("b") % 7 == 1, "distinct").otherwise("duplicate").alias("decision"))
-    return P.decide(sided(t), asked)
+    return P.decide(active(t), "sha", decisions(t), asked)
 
 
-@query("SELECT s.a, s.b, s.reason, p.decision FROM star s LEFT JOIN pair p ON p.a = s.a AND p.b = s.b", "star", "pair")
+@query("""SELECT s.a, s.b, CASE s.b % 2 WHEN 0 THEN 'exact' ELSE 'board-exact' END AS reason,
+  CASE WHEN s.b % 2 = 0 OR (x.revision = 0 AND y.revision = 0) THEN d.decision END AS decision
+  FROM star s JOIN smp x ON x.id = s.a JOIN smp y ON y.id = s.b LEFT JOIN said d ON d.a = s.a AND d.b = s.b""", "star", "smp", "said")
 def carried_decisions(t: Tables) -> DataFrame:
-    return P.carry_decisions(P.exact_links(t.samples(), "id", "sha"), pair_table(t))
+    """Pages with a revision above 0 had an earlier one when the decisions were made."""
+    now = t.samples()
+    before = now.withColumn("revision", F.lit(0).cast("long"))
+    pairs = P.exact_links(now, "id", "sha").withColumn("reason", F.when(F.col("b") % 2 == 0, "exact").otherwise("board-exact"))
+    old = pairs.join(decisions(t), ["a", "b"])
+    return P.carry_decisions(pairs, old, P.changed_pages(now, before, "sha", "revision"))
+
+
+view("shot", """SELECT id, phash, CASE id % 5 WHEN 0 THEN 'train' WHEN 1 THEN 'train' WHEN 2 THEN 'dev' ELSE 'regression' END AS split FROM (
+  SELECT * FROM {code} UNION ALL SELECT id + 2000001, phash FROM {code} WHERE id % 3 = 0 UNION ALL SELECT id + 4000003, phash FROM {code} WHERE id % 9 = 0)""")
+view("shothead", "SELECT *, id = min(id) OVER (PARTITION BY phash, split) AS head FROM {shot}")
+
+
+@query("""SELECT p.id AS a, q.id AS b, CAST(bit_count(xor(p.phash, q.phash)) AS INT) AS distance, p.split AS split_a, q.split AS split_b
+  FROM shothead p JOIN shothead q ON p.id < q.id WHERE bit_count(xor(p.phash, q.phash)) <= 4
+  AND p.head AND (q.head OR (p.phash = q.phash AND p.split = q.split))""", "shothead")
+def perceptual_links(t: Tables) -> DataFrame:
+    """Codes held several times, by pages of three splits."""
+    codes = V.codes(t.embeddings)
+    shots = (codes.unionByName(codes.where("id % 3 = 0").withColumn("id", F.col("id") + 2000001))
+             .unionByName(codes.where("id % 9 = 0").withColumn("id", F.col("id") + 4000003)))
+    place = F.col("id") % 5
+    shots = shots.select("id", "phash", F.lit("s").alias("source"), F.when(place < 2, "train").when(place == 2, "dev").otherwise("regression").alias("split"))
+    return P.near_split_links(shots, "phash").select("a", "b", "distance", "split_a", "split_b")
 
 
 @query("""SELECT t.id, t.split, t.kind, t.value, k.splits FROM token t JOIN (SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits
@@ -531,13 +566,13 @@ def page_counts(t: Tables) -> DataFrame:
 
 
 @query("""SELECT count(*) AS pages, count(*) FILTER (WHERE accepted) AS accepted_pages, count(*) FILTER (WHERE NOT accepted) AS review_queue, (SELECT count(*) FROM src) AS sources,
-  (SELECT count(*) FROM excl) AS excluded_sources, (SELECT count(*) FROM sided WHERE decision IS NULL AND split_a <> split_b) AS cross_split_blockers,
-  (SELECT count(*) FROM sided WHERE decision IS NULL AND split_a = split_b) AS same_split_candidates,
-  CASE WHEN (SELECT count(*) FROM sided WHERE decision IS NULL AND split_a <> split_b) > 0 THEN 'resolve-cross-split-duplicates' ELSE 'review-and-validate' END AS next_action
-  FROM smp WHERE source NOT IN (SELECT source FROM excl)""", "smp", "src", "excl", "sided")
+  (SELECT count(*) FROM excl) AS excluded_sources, (SELECT count(*) FROM every WHERE decision IS NULL AND split_a <> split_b) AS cross_split_blockers,
+  (SELECT count(*) FROM every WHERE decision IS NULL AND split_a = split_b) AS same_split_candidates,
+  CASE WHEN (SELECT count(*) FROM every WHERE decision IS NULL AND split_a <> split_b) > 0 THEN 'resolve-cross-split-duplicates' ELSE 'review-and-validate' END AS next_action
+  FROM smp WHERE source NOT IN (SELECT source FROM excl)""", "smp", "src", "excl", "every")
 def store_status(t: Tables) -> DataFrame:
     states = V2.job_states(t.samples().select("source", F.when(F.col("accepted"), "done").otherwise("queued").alias("state")), t.exclusions())
-    return V2.status(t.samples(), t.sources(), t.exclusions(), P.pair_status(sided(t)), states)
+    return V2.status(t.samples(), t.sources(), t.exclusions(), P.pair_status(active(t), "sha", decisions(t)), states)
 
 
 @query("""SELECT CAST(interval AS BIGINT) AS interval, dimension, name, count(*) AS n FROM (

@@ -190,8 +190,7 @@ def false_by_kind(t: Tables) -> DataFrame:
 
 
 @query(_greedy + """, tot AS (SELECT (SELECT greatest(1, count(*)) FROM tr) AS p, (SELECT greatest(1, count(*)) FROM pg WHERE page NOT IN (SELECT page FROM tr)) AS e),
-  sc AS (SELECT score, row_number() OVER (ORDER BY score DESC) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT score FROM pd)),
-  pick AS (SELECT score FROM sc WHERE i % greatest(1, n // 1000) = 0),
+  pick AS (SELECT DISTINCT score FROM pd),
   rate AS (SELECT c.score, count(*) FILTER (WHERE h.number IS NOT NULL) / any_value(p) AS recall, count(*) FILTER (WHERE h.page NOT IN (SELECT page FROM tr)) / any_value(e) AS fp
     FROM pick c JOIN hit h ON h.k = 0 AND h.score >= c.score, tot GROUP BY c.score)
   SELECT round(coalesce(arg_max(score, (recall, score)), 1.0), 6) AS threshold, round(coalesce(max(recall), 0), 6) AS recall, round(coalesce(arg_max(fp, (recall, score)), 0), 6) AS false_per_page

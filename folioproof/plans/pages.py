@@ -200,14 +200,17 @@ def letterbox_targets(t: Tables) -> DataFrame:
     return V.boxes(t.embeddings).select("vec_id", F.round(box["cx"], 6).alias("cx"), F.round(box["cy"], 6).alias("cy"), F.round(moved["w"], 6).alias("w"), F.round(moved["h"], 6).alias("h"))
 
 
-@query("""SELECT doc_id, count(*) AS windows, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM (SELECT doc_id, least(i * 896, greatest(0, w - 1024)) AS x, least(j * 896, greatest(0, h - 1024)) AS y
+@query("""SELECT doc_id, violation, count(x) AS windows, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM (
+  SELECT doc_id, 'too-many-windows' AS violation, NULL::BIGINT AS x, NULL::BIGINT AS y FROM (SELECT doc_id, n_chars AS w, n_chars // 2 + 1 AS h FROM documents)
+  WHERE (ceil(greatest(0, w - 1024) / 896) + 1) * (ceil(greatest(0, h - 1024) / 896) + 1) > 64
+  UNION ALL SELECT doc_id, NULL, least(i * 896, greatest(0, w - 1024)) AS x, least(j * 896, greatest(0, h - 1024)) AS y
   FROM (SELECT doc_id, n_chars AS w, n_chars // 2 + 1 AS h FROM documents), range(0, 64) a(i), range(0, 64) b(j)
   WHERE i <= ceil(greatest(0, w - 1024) / 896) AND j <= ceil(greatest(0, h - 1024) / 896)
-  AND (ceil(greatest(0, w - 1024) / 896) + 1) * (ceil(greatest(0, h - 1024) / 896) + 1) <= 64) GROUP BY doc_id""")
+  AND (ceil(greatest(0, w - 1024) / 896) + 1) * (ceil(greatest(0, h - 1024) / 896) + 1) <= 64) GROUP BY doc_id, violation""")
 def window_plan(t: Tables) -> DataFrame:
     pages = t.documents.select("doc_id", F.col("n_chars").alias("width"), F.expr("n_chars div 2 + 1").alias("height"))
-    return G.page_windows(pages).where("violation is null").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("windows"), F.sum("x").cast("long").alias("sum_x"), F.sum("y").cast("long").alias("sum_y"))
+    return G.page_windows(pages).groupBy("doc_id", "violation").agg(
+        F.count("x").alias("windows"), F.sum("x").cast("long").alias("sum_x"), F.sum("y").cast("long").alias("sum_y"))
 
 
 @query("""SELECT vec_id, round((0.94 * x0 + 12) / (0.0001 * x0 + 0.00005 * y0 + 1), 6) AS x, round((0.94 * y0 + 9) / (0.0001 * x0 + 0.00005 * y0 + 1), 6) AS y,
@@ -315,7 +318,7 @@ def made(t: Tables) -> DataFrame:
 view("rcp", """SELECT doc_id AS i, CASE WHEN doc_id % 11 = 10 THEN 'negative' WHEN doc_id % 37 = 36 THEN 'partial' ELSE 'boards' END AS kind,
   CASE WHEN doc_id % 11 <> 10 AND doc_id % 4 >= 2 THEN 'multiple-boards' WHEN doc_id % 4 = 1 THEN 'large-board' ELSE 'small-board' END AS layout,
   ['blank', 'paper', 'faded', 'soft'][CAST(doc_id // 4 % 4 + 1 AS INT)] AS effect, CASE WHEN doc_id % 4 >= 2 THEN 2 ELSE 1 END AS nb,
-  CASE WHEN doc_id % 20 = 0 THEN 'legal-opening' WHEN doc_id % 29 = 28 THEN 'empty' ELSE ['sparse', 'medium', 'dense'][CAST(doc_id % 3 + 1 AS INT)] END AS pk, doc_id % 5 = 4 AND doc_id < 100000 AS persp FROM documents""")
+  CASE WHEN doc_id % 20 = 0 THEN 'legal-opening' WHEN doc_id % 29 = 28 THEN 'empty' ELSE ['sparse', 'medium', 'dense'][CAST(doc_id % 3 + 1 AS INT)] END AS pk, doc_id % 5 = 4 AS persp FROM documents""")
 view("rbd", """SELECT i, kind, effect, 0 AS b, ['set-a', 'set-b', 'set-c'][CAST(i // 3 % 3 + 1 AS INT)] AS st, pk, CASE WHEN i % 7 = 0 THEN 'black-bottom' ELSE 'white-bottom' END AS side,
     CASE WHEN pk = 'legal-opening' THEN 'opening-' || (i // 20 % 3) ELSE 'teaching-v1-' || i || '-board-0' END AS parent, CASE pk WHEN 'empty' THEN 0 WHEN 'sparse' THEN 8 WHEN 'medium' THEN 22 WHEN 'dense' THEN 42 ELSE 32 END AS occ FROM {rcp}
   UNION ALL SELECT i, kind, effect, 1, ['set-a', 'set-b', 'set-c'][CAST((i + i % 4 - 1) % 3 + 1 AS INT)], CASE i % 4 WHEN 2 THEN 'sparse' ELSE 'dense' END, CASE i % 4 WHEN 2 THEN 'white-bottom' ELSE 'black-bottom' END,
@@ -516,13 +519,18 @@ def scored_pages(t: Tables) -> DataFrame:
 
 
 _chosen = """SELECT s.id, s.source, a.split, s.kind, s.revision, s.sha, s.kind IN ('boards', 'negative') AS detector_eligible FROM smp s JOIN act a ON a.id = s.id
-  WHERE accepted AND a.split IN ('train', 'dev') AND s.id NOT IN (SELECT b FROM sided WHERE decision = 'duplicate')"""
-view("chosen", _chosen.replace("smp s", "{smp} s").replace("act a", "{act} a").replace("FROM sided", "FROM {sided}"))
+  WHERE accepted AND a.split IN ('train', 'dev') AND s.id NOT IN (SELECT b FROM sided WHERE decision = 'duplicate')
+  AND s.source NOT IN (SELECT x.id FROM src x JOIN src y ON x.n // 4 = y.n // 4 WHERE y.id IN (SELECT source FROM worst))"""
+view("chosen", _chosen.replace("src ", "{src} ").replace("FROM worst", "FROM {worst}").replace("smp s", "{smp} s").replace("act a", "{act} a").replace("FROM sided", "FROM {sided}"))
 
 
 def chosen(t: Tables) -> DataFrame:
+    from ..operators.components import exclusion_closure
     from ..operators.pairs import dropped_duplicates as dropped
-    return E.selection(t.samples(), t.sources(), t.exclusions(), dropped(sided(t))).select("id", "source", "split", "kind", "revision", "sha", "detector_eligible")
+    # Sources of which a tenth is toxic take all of their lineage with them.
+    seeds = V.exclusions(t.documents, t.labels, 10).select(F.col("source").alias("id"), "reason")
+    excluded = t.exclusions().unionByName(exclusion_closure(t.sources(), seeds))
+    return E.selection(t.samples(), t.sources(), excluded, dropped(sided(t))).select("id", "source", "split", "kind", "revision", "sha", "detector_eligible")
 
 
 @query("SELECT * FROM chosen", "chosen")

@@ -38,11 +38,11 @@ def sources(documents: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("c"), (F.col("n") % 3).cast("string")), F.lit("print")).alias("conditions"))
 
 
-def exclusions(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sources of which at least seven in a hundred documents are toxic."""
+def exclusions(documents: DataFrame, labels: DataFrame, percent: int = 7) -> DataFrame:
+    """Sources of which at least ``percent`` in a hundred documents are toxic."""
     rows = documents.select("doc_id", "source").join(labels.select("doc_id", "toxic"), "doc_id", "left")
     shares = rows.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count(F.lit(1)).alias("n"))
-    return shares.where("bad * 100 >= n * 7").select("source", F.lit("toxic").alias("reason"))
+    return shares.where(f"bad * 100 >= n * {percent}").select("source", F.lit("toxic").alias("reason"))
 
 
 def samples(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,8 +27,10 @@ def plain(v):
         return "~"
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
-        return f"{float(v):.9g}"
+    if isinstance(v, int) or type(v).__name__ == "Decimal" and v == v.to_integral_value():
+        return str(int(v))
+    if isinstance(v, float) or type(v).__name__ == "Decimal":
+        return str(int(v)) if float(v).is_integer() else f"{float(v):.9g}"
     return str(v)
 
 

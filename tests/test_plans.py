@@ -71,6 +71,59 @@ def test_exact_links_span_the_groups(spark):
         assert sorted((r["a"], r["b"]) for r in links) == [(0, i) for i in range(3, 30, 3)]
 
 
+PAGES = "id long, source string, split string, key long"
+
+
+def test_split_links_keep_what_an_excluded_head_would_hide(spark):
+    samples = spark.createDataFrame([(1, "x", 7), (2, "y", 7), (3, "z", 7), (4, "z", 7), (5, "y", 8)], "id long, source string, key long")
+    sources = spark.createDataFrame([("x", "train"), ("y", "train"), ("z", "dev")], "id string, split string")
+    gone = spark.createDataFrame([("x", "toxic")], "source string, reason string")
+    said = spark.createDataFrame([(2, 4, "duplicate"), (1, 2, "duplicate"), (2, 3, "distinct"), (2, 5, "duplicate")], "a long, b long, decision string")
+    pages = P.active_pages(samples, sources, gone, "key")
+    for hot in (1, 1000):
+        links = P.split_links(pages, "key", said, hot_rows=hot)
+        assert sorted((r["a"], r["b"], r["decision"] or "") for r in links.collect()) == [(2, 3, ""), (2, 4, "duplicate"), (3, 4, "")]
+    assert sorted((r["a"], r["b"], r["code"]) for r in P.blockers(links).collect()) == [
+        (2, 3, "unresolved-duplicate"), (2, 4, "cross-split-duplicate")]
+    assert tuple(P.pair_status(pages, "key", said).first()) == (1, 1)
+    asked = spark.createDataFrame([(4, 2, "duplicate"), (3, 2, "duplicate"), (1, 3, "duplicate"), (3, 2, "distinct"), (3, 4, "duplicate"), (5, 2, "duplicate")],
+                                  "a long, b long, decision string")
+    got = {(r["a"], r["b"], r["asked"]): r["outcome"] for r in P.decide(pages, "key", said, asked).collect()}
+    assert got == {(2, 4, "duplicate"): "already-resolved", (2, 3, "duplicate"): "recorded", (1, 3, "duplicate"): "unknown-or-inactive",
+                   (2, 3, "distinct"): "exact-not-distinct", (3, 4, "duplicate"): "same-split", (2, 5, "duplicate"): "unknown-or-inactive"}
+
+
+def test_split_links_of_nothing_and_of_null_keys(spark):
+    said = spark.createDataFrame([], "a long, b long, decision string")
+    empty = spark.createDataFrame([], PAGES)
+    nulls = spark.createDataFrame([(1, "s", "train", None), (2, "s", "dev", None)], PAGES)
+    for pages in (empty, nulls):
+        assert P.split_links(pages, "key", said).collect() == []
+        assert tuple(P.pair_status(pages, "key", said).first()) == (0, 0)
+
+
+def test_near_links_keep_a_head_in_every_split(spark):
+    splits = {0: "train", 1: "train", 2: "dev", 3: "regression", 4: "dev"}
+    rows = [(i, "s", splits[i], 0) for i in range(5)] + [(5, "s", "train", 3), (6, "s", "dev", 3), (7, "s", "dev", 1 << 40)]
+    rows.append((8, "s", "regression", (1 << 12) - 1))
+    got = {(r["a"], r["b"]) for r in P.near_split_links(spark.createDataFrame(rows, PAGES), "key").collect()}
+    near = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and bin(a[3] ^ b[3]).count("1") <= 4}
+    assert got <= near
+    place = {r[0]: (r[3], r[2]) for r in rows}
+    assert {frozenset((place[a], place[b])) for a, b in got} == {frozenset((place[a], place[b])) for a, b in near}
+
+
+def test_board_decisions_of_changed_pages_are_dropped(spark):
+    old = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "id long, revision long")
+    new = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 0)], "id long, revision long")
+    changed = P.changed_pages(new, old, "revision")
+    assert sorted(r["id"] for r in changed.collect()) == [3, 4]
+    pairs = [(1, 2, "board-exact"), (1, 3, "board-exact"), (2, 3, "exact")]
+    decided = spark.createDataFrame([(*p, "duplicate") for p in pairs], "a long, b long, reason string, decision string")
+    found = P.carry_decisions(spark.createDataFrame(pairs, "a long, b long, reason string"), decided, changed).collect()
+    assert {(r["a"], r["b"]): r["decision"] for r in found} == {(1, 2): "duplicate", (1, 3): None, (2, 3): "duplicate"}
+
+
 def _union_find(pairs):
     parent = {}
 
