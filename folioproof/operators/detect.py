@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ NO_BOARD_KINDS = ["negative", "partial", "unsupported"]
 # Pages with more rows than this never go to one task.  A page within the limits of the
 # formats has at most a few thousand rows; at most rows/BIG_PAGE pages can be larger,
 # which bounds the broadcast of their keys.
-BIG_PAGE = 200_000
+BIG_PAGE = 4_000
 
 
 def _split_by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -91,12 +92,16 @@ def _cells(low: str, high: str, name: str, spread: bool) -> Column:
 
 
 def overlapping(left: DataFrame, right: DataFrame, least: float, keys: list[str]) -> DataFrame:
-    """Pairs with IoU >= least (least >= 0.5) by a join on grid cells of both axes.
+    """Pairs with IoU >= least (above 0) by a join on grid cells of both axes.
 
     Columns: ``keys``, id and edges of each side as ``l_*`` and ``r_*``, and ``iou``.
     """
     if least < 0.5:
-        raise ValueError("grid cells are exact from IoU 0.5 on")
+        # The cells below are exact from 0.5 on; those of ``touching`` at any threshold.
+        found = touching(left, right, keys, least * (1 - 1e-9))
+        for df, p in ((left, "l_"), (right, "r_")):
+            found = found.join(df.select(*keys, *[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")]), [*keys, p + "id"])
+        return found.withColumn("iou", G.box_iou(G.box("l_"), G.box("r_"))).where(F.col("iou") >= least)
 
     def side(df: DataFrame, p: str, spread: bool) -> DataFrame:
         named = df.select(*keys, *[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")],
@@ -159,19 +164,29 @@ def suppress(candidates: DataFrame, threshold: float, *, by_class: bool = False,
 
 
 def touching(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, l_id, r_id) of boxes above a low IoU.  Extents differ by at most 1/threshold, so
-    both boxes of a pair cover a common grid cell at the level of the larger one."""
-    reach = int(np.ceil(np.log2(1 / max(threshold, 1e-3))))
+    """(keys, l_id, r_id) of boxes with IoU above ``threshold`` (0: that overlap at all).
+
+    Both boxes of a pair cover a common grid cell at the level of the larger extent.  Extents
+    differ by at most 1/threshold, and no level is above that of the largest box there is.
+    Boxes without extent overlap nothing.
+    """
+    def level_of(low: str, high: str) -> Column:
+        return F.floor(F.log2(F.col(high) - F.col(low)))
+
+    left, right = (df.where("x1 > x0 AND y1 > y0") for df in (left, right))
+    extents = left.select("x0", "y0", "x1", "y1").unionByName(right.select("x0", "y0", "x1", "y1"))
+    highest = extents.agg(F.max(F.greatest(level_of("x0", "x1"), level_of("y0", "y1")))).scalar()
 
     def covered(low: str, high: str, name: str) -> Column:
-        level = F.floor(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(1e-9))))
-        return F.flatten(F.transform(F.sequence(level, level + reach), lambda k: F.transform(
+        level = level_of(low, high)
+        top = F.col("_top") if threshold <= 0 else F.least("_top", level + math.ceil(math.log2(1 / threshold)))
+        return F.flatten(F.transform(F.sequence(level, top), lambda k: F.transform(
             F.sequence(F.floor(F.col(low) / F.pow(F.lit(2.0), k)), F.floor(F.col(high) / F.pow(F.lit(2.0), k))),
             lambda c: F.struct(k.alias("l"), c.alias("c"))))).alias(name)
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        named = df.select(*keys, *[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")],
-                             covered("x0", "x1", "_x"), covered("y0", "y1", "_y"))
+        named = df.withColumn("_top", highest).select(*keys, *[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")],
+                                                      covered("x0", "x1", "_x"), covered("y0", "y1", "_y"))
         return named.withColumn("_x", F.explode("_x")).withColumn("_y", F.explode("_y"))
 
     return (side(left, "l_").join(side(right, "r_"), [*keys, "_x", "_y"])

@@ -146,15 +146,15 @@ def polygon_matches(proposed: DataFrame, final: DataFrame, least: float = 0.5, b
     if big.isEmpty():
         near = p.join(t, "page").where(meet)
     else:
-        # Convex boards fill at least half of their bounds, so an IoU of 0.5 needs bounds with
-        # an IoU of 1/8: oversized pages are paired through grid cells, not all with all.
+        # Oversized pages are paired through grid cells, not all with all, wherever bounds overlap:
+        # a slanted board may fill any share of its bounds.
         few = F.broadcast(big)
 
         def bounds_of(df: DataFrame, n: str) -> DataFrame:
             return df.join(few, "page").select("page", F.col(n).alias("id"), *[
                 F.col(f"{n}_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
-        links = touching(bounds_of(p, "p"), bounds_of(t, "t"), ["page"], min(0.12, least / 4.1)).select(
+        links = touching(bounds_of(p, "p"), bounds_of(t, "t"), ["page"], 0.0).select(
             "page", F.col("l_id").alias("p"), F.col("r_id").alias("t"))
         near = (p.join(few, "page", "left_anti").join(t, "page").where(meet)
                 .unionByName(links.join(p, ["page", "p"]).join(t, ["page", "t"]), allowMissingColumns=True))

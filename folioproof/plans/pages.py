@@ -24,11 +24,11 @@ def url_rules(t: Tables) -> DataFrame:
     return t.pages.select("page_id", S.public_https(F.col("url")).alias("public_url"), S.plain_https(F.col("url")).alias("plain_url"))
 
 
-@query("""SELECT doc_id, regexp_full_match(lang || '-' || source, '[a-zA-Z0-9_-]{1,80}') AS token, regexp_full_match(left(text, 12), '[a-zA-Z0-9_-]{1,80}') AS text_token,
+@query("""SELECT doc_id, regexp_full_match(lang || '-' || source, '[a-zA-Z0-9_-]{1,80}') AS token, regexp_full_match(text, '[a-zA-Z0-9_-]{1,80}') AS text_token,
   true AS hash, false AS text_hash FROM documents""")
 def identifier_rules(t: Tables) -> DataFrame:
     return t.documents.select(
-        "doc_id", S.is_token(F.concat_ws("-", "lang", "source")).alias("token"), S.is_token(F.substring("text", 1, 12)).alias("text_token"),
+        "doc_id", S.is_token(F.concat_ws("-", "lang", "source")).alias("token"), S.is_token(F.col("text")).alias("text_token"),
         S.is_sha256(F.sha2("text", 256)).alias("hash"), S.is_sha256(F.col("text")).alias("text_hash"))
 
 
@@ -573,16 +573,21 @@ def apart_grids(t: Tables) -> DataFrame:
 # --- streams ----------------------------------------------------------------
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    return t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    return t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(t.folder)
 
 
 def _drain(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there into the shared folder and read it back."""
     target, state = shared_path(df.sparkSession, name), shared_path(df.sparkSession, name + "-state")
     spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    running = df.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()
-    running.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        running = df.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema(df.schema).parquet(target)
 
 

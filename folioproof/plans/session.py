@@ -20,8 +20,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Call-site capture costs a round trip per expression while a plan is built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Raster columns are wide: 256 rows of 256 KB stay under 64 MB per Arrow batch.
+    # Raster columns are wide: batches are bounded by bytes, whatever a row holds.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from folioproof.operators import components as C, detect as D, matching as M, pairs as P, splits as S
+from folioproof.operators import components as C, detect as D, matching as M, pairs as P, reviews as R, splits as S
 from folioproof.plans.ordered import medians, numbered, running
 from folioproof.plans.skew import lookup
 
@@ -74,6 +74,31 @@ def test_exact_links_span_the_groups(spark):
 PAGES = "id long, source string, split string, key long"
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.0005, 0.3, 0.5])
+def test_big_and_small_pages_agree_at_any_threshold(spark, threshold):
+    rng = random.Random(5)
+    rows = []
+    for page in range(2):
+        for rank in range(25):
+            x, y, w = rng.uniform(0, 60), rng.uniform(0, 60), rng.choice([0.0, 0.01, 1.0, 7.0, 40.0])
+            rows.append((page, rank, x, y, x + w, y + w * rng.uniform(0.5, 1), round(rng.random(), 2)))
+        rows.append((page, 25, 0.0, 0.0, 4096.0, 4096.0, 0.0))
+    boxes = spark.createDataFrame(rows, "page long, rank long, x0 double, y0 double, x1 double, y1 double, score double")
+    few, all_ = (sorted((r["page"], r["rank"]) for r in D.suppress(boxes, threshold, big_page=n).collect()) for n in (5, 1000))
+    assert few == all_ and len(all_) < len(rows)
+
+
+def test_slanted_boards_match_on_big_pages_too(spark):
+    def taper(t):
+        return [{"x": 0.0, "y": 0.0}, {"x": 8000.0 * t, "y": 8000.0 * t}, {"x": 8000.0 * t - 16, "y": 8000.0 * t + 16}, {"x": -200.0, "y": 200.0}]
+
+    kind = "page long, number long, corners array<struct<x: double, y: double>>, labels array<string>"
+    proposed = spark.createDataFrame([(1, 0, taper(1.0), ["."])], kind)
+    final = spark.createDataFrame([(1, 0, taper(0.32), ["."])], kind)
+    for big in (1, 1000):
+        assert R.polygon_matches(proposed, final, 0.2, big_page=big).count() == 1
+
+
 def test_split_links_keep_what_an_excluded_head_would_hide(spark):
     samples = spark.createDataFrame([(1, "x", 7), (2, "y", 7), (3, "z", 7), (4, "z", 7), (5, "y", 8)], "id long, source string, key long")
     sources = spark.createDataFrame([("x", "train"), ("y", "train"), ("z", "dev")], "id string, split string")
