@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..plans.session import keep
 from ..plans.skew import lookup
@@ -42,23 +42,37 @@ def components(members: DataFrame, item: str = "item", key: str = "key",
     pairs = keep(members.select(F.col(item).alias("u"), F.col(key).alias("k")))
     heads = pairs.groupBy("k").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_rows"))
     total = pairs.count()
-    edges = keep(lookup(pairs, heads, "k", "_rows", hot_rows, total).where("u <> v").select("u", "v").distinct())
-    mark = None
+    found = linked_components(lookup(pairs, heads, "k", "_rows", hot_rows, total).select("u", "v"), hot_rows)
+    return pairs.select("u").distinct().join(found, "u", "left").select(
+        F.col("u").alias(item), F.coalesce("v", "u").alias("component"))
+
+
+def _mark(edges: DataFrame) -> Row:
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
+def linked_components(links: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(u, v): the smallest item ``v`` of the component of each item ``u`` that is not that itself.
+
+    ``links`` are undirected pairs (u, v); pairs of an item with itself mean nothing.  Links that
+    already point each item to its component's smallest one take a single round.
+    """
+    edges = keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = _mark(edges)
+    # An edge is rewired, never multiplied: rows of a round stay below twice those of the first.
+    total = 2 * mark["n"]
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (_to_smallest(both, hot_rows, 2 * total).where("v > u")
+        large = (_to_smallest(both, hot_rows, total).where("v > u")
                  .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         downward = large.where("u <> v")
-        small = _to_smallest(downward, hot_rows, 2 * total)
+        small = _to_smallest(downward, hot_rows, total)
         edges = keep(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                      .unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _mark(edges)
         if now == mark:
-            break
+            return edges
         mark = now
-    items = pairs.select("u").distinct()
-    return items.join(edges, "u", "left").select(
-        F.col("u").alias(item), F.coalesce("v", "u").alias("component"))
 
 
 def exclusion_closure(sources: DataFrame, seeds: DataFrame) -> DataFrame:
