@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.components import components
+from ..operators.components import linked_components
 from ..plans.session import keep, shuffle_partitions
 from . import words as W
 from .shared import among, meet, put
@@ -277,10 +277,8 @@ def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """(u, c): the smallest unit of its component, for each unit with a link."""
-    members = links.select(F.col("a").alias("item"), F.col("a").alias("key")).unionByName(
-        links.select(F.col("b").alias("item"), F.col("a").alias("key"))).distinct()
-    return components(members).select(F.col("item").alias("u"), F.col("component").alias("c"))
+    """(u, c): the smallest unit of its component, for each unit with a link to a smaller one."""
+    return linked_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("v", "c")
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_id", text: str = "text") -> DataFrame:
