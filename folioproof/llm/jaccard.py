@@ -179,8 +179,11 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the share; ``a`` repeats, so partners stream past its set."""
-    wanted = pairs.select(F.col("a").alias("a"), F.col("b").alias("u")).unionByName(pairs.select("a", F.col("a").alias("u"))).distinct()
+    """The pairs (a, b) whose sets reach the share; ``a`` repeats, so partners stream past its set.
+
+    A pair that is given twice is checked twice.
+    """
+    wanted = pairs.select("a", F.col("b").alias("u")).unionByName(pairs.select("a").distinct().select("a", F.col("a").alias("u")))
     rows = wanted.join(among(texts, "k", wanted, "u"), F.col("u") == F.col("k")).select("a", (F.col("u") == F.col("a")).alias("own"), "u", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +234,10 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_
     # (those that share at least half of what is asked; the others are left to the second meeting).
     heads = (shared.where(_sizes_fit(F.col("n"), F.col("head_n"), percent)).groupBy("g", "head")
              .agg(F.count(F.lit(1)).alias("met"), F.min(F.least("n", "head_n")).alias("n")).where("2 * met >= 1 + n div 100")
-             .join(members.select("g", "u"), "g").select(F.col("head").alias("a"), F.col("u").alias("b")))
-    inside = members.where("u <> g").select(F.col("g").alias("a"), F.col("u").alias("b"))
-    pairs = _near(heads.unionByName(inside).distinct(), members, percent)
+             .select("g", "head").join(members.select("g", "u", F.col("n").alias("u_n"), *_BITS), "g")
+             .select(F.col("head").alias("a"), F.col("u").alias("b"), F.col("u_n").alias("n"), *_BITS))
+    inside = members.where("u <> g").select(F.col("g").alias("a"), F.col("u").alias("b"), "n", *_BITS)
+    pairs = _near(heads.unionByName(inside), members, percent)
     texts = source.where("k IS NOT NULL")
     links = keep(_verified(keep(pairs), texts, n, percent))
     labels = _labels(links)
@@ -270,10 +274,13 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_
 
 
 def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different units whose bitmaps allow a link."""
-    x, y = (members.select("u", "n", *_BITS).alias(s) for s in "xy")
-    found = pairs.where("a <> b").join(x, F.col("a") == F.col("x.u")).join(y, F.col("b") == F.col("y.u"))
-    return found.where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)).select("a", "b").distinct()
+    """The pairs (a, b) of different ids whose bitmaps allow a link; ``pairs`` have size and bitmap of ``b``.
+
+    A group meets the name of another as head once, so a pair repeats only where an id has several texts.
+    """
+    x, y = members.select("u", "n", *_BITS).alias("x"), pairs.alias("y")
+    found = y.where("a <> b").join(x, F.col("y.a") == F.col("x.u"))
+    return found.where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)).select("y.a", "y.b")
 
 
 def _labels(links: DataFrame) -> DataFrame:
