@@ -114,6 +114,61 @@ def test_passages(spark):
     assert passages.remove(docs).count() == len(texts) and passages.repeats(docs.limit(0)).collect() == []
 
 
+def fresh(rng, n):
+    """Words that do not repeat by chance."""
+    return [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+
+def test_passages_beside_fragments(spark):
+    # Each window of 50 words against brute force: the smallest ids hold parts too short to be passages.
+    rng = random.Random(11)
+    texts, i = {}, 0
+    for c in range(20):
+        x, y = fresh(rng, 45), fresh(rng, 45)
+        for t in (x, y, x + y, x + y):
+            texts[i] = fresh(rng, rng.randrange(60)) + t + fresh(rng, rng.randrange(60))
+            i += 1
+        # The first text holds every part of its passage before the passage.
+        p = fresh(rng, 60)
+        texts[i] = p[30:] + fresh(rng, 9) + p[:31] + fresh(rng, 9) + p + fresh(rng, 9)
+        texts[i + 1] = fresh(rng, 20) + p + fresh(rng, 20)
+        i += 2
+    first, want = {}, {i: set() for i in texts}
+    for i, t in texts.items():
+        for a in range(len(t) - 49):
+            if first.setdefault(tuple(t[a:a + 50]), i) != i:
+                want[i] |= set(range(a, a + 50))
+    got = {r.doc_id: {p for x in r.spans for p in range(x["first"], x["last"])} for r in passages.repeats(table(spark, [(i, " ".join(t)) for i, t in texts.items()])).collect()}
+    assert sum(map(bool, want.values())) == 40 and got == want
+
+
+def test_fuzzy_passages(spark):
+    # Share of planted passages found, by length and one edit in so many words, and that their ends are found.
+    rng = random.Random(12)
+    planted, texts = {}, []
+    for size in (55, 60, 120, 400):
+        for every in (6, 8, 10, 20):
+            for _ in range(25):
+                a = fresh(rng, size)
+                b = [f"e{rng.randrange(10 ** 9)}" if j % every == every - 1 else w for j, w in enumerate(a)]
+                i = len(texts)
+                texts += [(i, " ".join(fresh(rng, 200) + a + fresh(rng, 200))), (i + 1, " ".join(fresh(rng, 100) + b + fresh(rng, 300)))]
+                planted[i + 1] = size, every
+    # A long passage whose words agree in runs too short for a seed far from its only dense part.
+    a = fresh(rng, 700)
+    b = a[:100] + [w if j % 16 < 15 else f"e{j}" for j, w in enumerate(a[100:])]
+    texts += [(9000, " ".join(a)), (9001, " ".join(b))]
+    found = {r.doc_id: r for r in passages.repeats(table(spark, texts)).collect()}
+    share = {}
+    for i, key in planted.items():
+        spans = [(x["first"], x["last"]) for x in found[i].spans]
+        share.setdefault(key, []).append(len(spans) == 1 and abs(spans[0][0] - 100) <= key[1] and abs(spans[0][1] - 100 - key[0]) <= key[1])
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    print(share)
+    assert all(v >= (0.8 if every == 6 and size < 100 else 0.9) for (size, every), v in share.items()), share
+    assert found[9001].n_repeated >= 690 and all(found[i].n_repeated == 0 for i in range(0, len(planted) * 2, 2))
+
+
 def test_chains_are_best():
     rng = random.Random(2)
     for _ in range(60):
