@@ -1,4 +1,4 @@
-"""License notices by patience alignment with templates."""
+"""License notices by alignment with templates: the longest rising run of equal words, by patience piles."""
 
 from __future__ import annotations
 
@@ -86,32 +86,70 @@ class Templates:
         self.words = [w.hashes[a:b].tolist() for a, b in zip(w.bounds[:-1], w.bounds[1:])]
         self.known = np.unique(w.hashes)
         self.sets = [Counter(x) for x in self.words]
+        self.places = [{t: [y for y in range(len(x) - 1, -1, -1) if x[y] == t] for t in x} for x in self.words]
 
-    def scan(self, text: list[int], lines: list[tuple[int, int]], held: np.ndarray) -> list[dict]:
-        """Notices in one text: for each template each line that covers it, or else the whole text if that does."""
+    def scan(self, text: list[int], held: np.ndarray) -> list[dict]:
+        """Notices in one text, wherever its lines break: for each template all copies that do not overlap."""
         out = []
-        whole = (0, len(text))
-        for name, template, need in zip(self.names, self.words, self.sets):
-            found = []
-            for a, b in [*lines, *([whole] if len(lines) > 1 else [])]:
-                if (a, b) == whole and found and len(lines) > 1:
-                    break
-                # No alignment can match more than the words both have.
-                if len(held[a:b][held[a:b]]) < self.coverage * len(template):
+        have = Counter(t for t, h in zip(text, held.tolist()) if h)
+        for name, template, need, places in zip(self.names, self.words, self.sets, self.places):
+            least = self.coverage * len(template)
+            # No alignment can match more than the words both have.
+            if sum(min(n, have[t]) for t, n in need.items()) < least:
+                continue
+            end = 0
+            for s in dense(text, need, least, 2 * len(template)):
+                if s < end:
                     continue
-                have = Counter(t for t, h in zip(text[a:b], held[a:b].tolist()) if h)
-                if sum(min(n, have[t]) for t, n in need.items()) < self.coverage * len(template):
-                    continue
-                matched = align(text[a:b], template)
-                if len(matched) >= self.coverage * len(template):
-                    first, last = a + matched[0][0], a + matched[-1][0] + 1
-                    # Words scattered over a long text are no notice.
-                    if last - first <= 2 * len(template):
-                        found.append({"license": name, "coverage": len(matched) / len(template), "first": first, "last": last})
-            out += found
+                # Words scattered over more than twice the template are no notice.
+                last = s + _extent(text[s:s + 2 * len(template)], places, least)
+                if last > s:
+                    first = last - _extent(text[s:last][::-1], {w: [len(template) - 1 - y for y in p][::-1] for w, p in places.items()}, least)
+                    # Copies in a row are found one by one.
+                    out.append({"license": name, "coverage": _common(text[first:last], places)[-1] / len(template), "first": first, "last": last})
+                    end = last
         return out
 
 
+def dense(text: list, need: Counter, least: float, size: int) -> Iterator[int]:
+    """Places of template words from which ``size`` words hold at least ``least`` words of the template."""
+    have: Counter = Counter()
+    both = right = 0
+    for s, word in enumerate(text):
+        while right < min(len(text), s + size):
+            new = text[right]
+            if new in need:
+                both += have[new] < need[new]
+                have[new] += 1
+            right += 1
+        if word in need:
+            if both >= least:
+                yield s
+            have[word] -= 1
+            both -= have[word] < need[word]
+
+
+def _common(text: list, places: dict) -> list[int]:
+    """The length of the longest common subsequence with the template after each word of the text.
+
+    It is the longest rising run over all pairs of equal words, found by the same piles.
+    """
+    tops: list[int] = []
+    out = []
+    for word in text:
+        for y in places.get(word, ()):  # descending, so that a word is matched once
+            pile = bisect_left(tops, y)
+            tops[pile:pile + 1] = [y]
+        out.append(len(tops))
+    return out
+
+
+def _extent(text: list, places: dict, least: float) -> int:
+    """How many words from the start are a notice of ``least`` matched words or more, 0 if none: a matched word weighs two passed ones."""
+    score = [(2 * n - i, -i) for i, n in enumerate(_common(text, places), 1) if n >= least]
+    return -max(score)[1] if score else 0
+
+
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
 
 
@@ -131,14 +169,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
                 w = W.words(part.column("t"), W.ALNUM)
                 held = np.isin(w.hashes, index.known)
                 count = np.diff(np.r_[0, np.cumsum(held)][w.bounds])
-                breaks = np.flatnonzero(w.data == 10)
-                line = np.searchsorted(breaks, w.starts)
                 found: list[list] = [[] for _ in range(len(part))]
                 for i in np.flatnonzero(count >= index.coverage * min(map(len, index.words))).tolist():
                     a, b = int(w.bounds[i]), int(w.bounds[i + 1])
-                    cut = np.flatnonzero(np.diff(line[a:b])) + 1
-                    edges = np.r_[0, cut, b - a].tolist()
-                    found[i] = index.scan(w.hashes[a:b].tolist(), list(zip(edges, edges[1:])), held[a:b])
+                    found[i] = index.scan(w.hashes[a:b].tolist(), held[a:b])
                 best = [max(f, key=lambda x: (x["coverage"], size[x["license"]]), default=None) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("k"), pa.array([x and x["license"] for x in best], pa.string()),

@@ -307,6 +307,33 @@ def test_licenses(spark):
     assert want == {r.doc_id for r in QUERIES["op7_licenses"](Tables(spark, SF)).collect() if r.license}
 
 
+def test_wrapped_licenses(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(fresh(rng, n))
+    texts, want = [], []
+    for i, name in enumerate(["mit", "apache-2.0", "gpl-3.0", "bsd"]):
+        w = licenses.TEMPLATES[name].split()
+        wrapped = "\n * ".join(" ".join(w[j:j + 7]) for j in range(0, len(w), 7))
+        altered = wrapped.replace(w[0], "Altered", 1)
+        edited = wrapped.replace(w[9], "edited words", 1)
+        one = " ".join(w)
+        for k, copies in enumerate([[wrapped, wrapped], [altered, edited], [one, wrapped], [edited, edited, altered], [wrapped]]):
+            for gap in (0, 3, 400):  # words between copies
+                # Stray first and last words of the notice far away.
+                body = f"\n{prose(gap)}\n".join(copies)
+                texts.append((len(texts), f"{w[0]} {prose(300)}\n{body}\n{prose(300)} {w[-1]}"))
+                want.append((name, len(copies)))
+    # A notice interrupted by many words, but fewer than it has itself.
+    w = licenses.TEMPLATES["mit"].split()
+    texts.append((len(texts), " ".join(fresh(rng, 301) + w[:15] + fresh(rng, 20) + w[15:] + fresh(rng, 300))))
+    want.append(("mit", 1))
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    for i, (name, copies) in enumerate(want):
+        found = [x for x in got[i].notices if x["license"] == name]
+        assert got[i].license in (name, f"{name}-notice") and len(found) == copies, (i, name, found)
+        assert all(x["coverage"] >= 0.9 for x in found) and found[0]["first"] >= 301
+
+
 def spot_set(text):
     w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
     out = set()
