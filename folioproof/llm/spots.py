@@ -1,9 +1,10 @@
 """Document fingerprints from spot signatures, with DataFrame functions only.
 
 A spot is an occurrence of a common word; its signature is that word with the CHAIN content
-words that follow it.  A text's fingerprint is the set of its signatures.  Sets are dealt to
-bands by their length; the likeness of two sets (Jaccard) is not worked out when their
-lengths alone rule out the asked least likeness.
+words that follow it.  A text's fingerprint is the set of its signatures.  The likeness of two
+sets is Jaccard.  The query compares each text with two given ones and makes no search of all
+pairs, so dealing sets to bands by their length (:func:`band`) and leaving out pairs by their
+lengths (``least`` of :func:`likeness`) are for callers and unused in it.
 """
 
 from __future__ import annotations
