@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Tables
-from . import decontaminate, jaccard, licenses, packing, passages, quality, spots, toxicity, url_rules, warc_zip
+from . import decontaminate, jaccard, licenses, negatives, packing, passages, periods, quality, simhash, spots, toxicity, url_rules, warc_zip
 from .labelled import fold
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -147,3 +147,60 @@ def op7_licenses(t: Tables) -> DataFrame:
 @query
 def op8_spot_signatures(t: Tables) -> DataFrame:
     return spots.fingerprints(t.documents)
+
+
+@query
+def op11_simhash(t: Tables) -> DataFrame:
+    return simhash.linked(t.documents)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts whose id hash ends in 0 repeat a part of themselves up to their end, word by word."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    a = F.pmod("g", F.size("w"))
+    p = 1 + F.floor((F.size("w") - a) / (3 + F.col("g") % 8))
+    placed = chosen.withColumn("a", F.when(F.size("w") > 0, a)).withColumn("p", F.when(F.size("w") > 0, p))
+    repeated = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.concat_ws(" ", repeated)).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(t: Tables) -> DataFrame:
+    found = periods.detect(with_periods(t.documents))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_hard_negatives(t: Tables) -> DataFrame:
+    return negatives.mine(t.embeddings)
+
+
+SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
+  FROM a JOIN v o ON a.vec_id <> o.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.other AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 100 * s.score BETWEEN 50 * p.positive_score AND 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
