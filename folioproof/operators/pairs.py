@@ -59,70 +59,85 @@ def choose_blocks(codes: int, bits: int = 64, k: int = NEAR_BITS) -> int:
     return k + 4
 
 
-def near_code_pairs(codes: DataFrame, code: str, k: int = NEAR_BITS, bits: int = 64,
-                    blocks: int | None = None, hot_bucket: int = 5000) -> DataFrame:
-    """(left, right, distance) of distinct codes within Hamming distance ``k``; exact.
-
-    The code is cut into blocks; k differing bits leave at least blocks-k blocks equal,
-    so codes meet on every choice of blocks-k blocks.  A pair is emitted only at the
-    first choice it agrees on, which replaces a distinct.  Buckets holding more than
-    ``hot_bucket`` codes are cut again over the whole code with k+1 finer bands, so a
-    popular key is split by content, not capped.
-    """
-    blocks = blocks or choose_blocks(codes.count(), bits, k)
-    cuts = _cuts(bits, blocks)
-    choices = list(combinations(range(blocks), blocks - k))
-    first = [-1] * (1 << blocks)  # match mask -> first choice it contains
-    for mask in range(1 << blocks):
-        for number, choice in enumerate(choices):
-            if all(mask >> b & 1 for b in choice):
-                first[mask] = number
-                break
-
-    def key(choice: tuple[int, ...]) -> Column:
+class Blocks:
+    """Codes cut into blocks: codes within ``k`` bits agree on some choice of ``blocks - k`` blocks."""
+
+    def __init__(self, blocks: int, k: int = NEAR_BITS, bits: int = 64) -> None:
+        self.blocks, self.k, self.bits = blocks, k, bits
+        self.cuts = _cuts(bits, blocks)
+        self.choices = list(combinations(range(blocks), blocks - k))
+        self.first = [-1] * (1 << blocks)  # match mask -> first choice it contains
+        for mask in range(1 << blocks):
+            for number, choice in enumerate(self.choices):
+                if all(mask >> b & 1 for b in choice):
+                    self.first[mask] = number
+                    break
+        # The bits not in a choice are cut into k+1 bands: within a bucket the k differing
+        # bits all lie there, so at least one band agrees.
+        rest = {n: [i for b in range(blocks) if b not in c for i in range(self.cuts[b][0], self.cuts[b][0] + self.cuts[b][1])]
+                for n, c in enumerate(self.choices)}
+        masks = {n: [sum(1 << i for i in r[lo:lo + w]) for lo, w in _cuts(len(r), k + 1)] for n, r in rest.items()}
+        signed = [[m - (1 << 64) if m >= 1 << 63 else m for m in masks[n]] for n in range(len(self.choices))]
+        self.bands = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in signed])
+
+    def _key(self, choice: tuple[int, ...]) -> Column:
         out = F.lit(0).cast("long")
         for b in choice:
-            out = F.shiftleft(out, cuts[b][1]).bitwiseOR(_block(F.col("code"), cuts[b]))
+            out = F.shiftleft(out, self.cuts[b][1]).bitwiseOR(_block(F.col("code"), self.cuts[b]))
         return out
 
-    keyed = codes.select(F.col(code).alias("code")).select("code", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("choice"), key(c).alias("value")) for n, c in enumerate(choices)])).alias("_k")
-    ).select("code", "_k.choice", "_k.value", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"))
-
-    # The bits not in a choice are cut into k+1 bands: within a bucket the k differing
-    # bits all lie there, so at least one band agrees.
-    rest = {n: [i for b in range(blocks) if b not in c for i in range(cuts[b][0], cuts[b][0] + cuts[b][1])]
-            for n, c in enumerate(choices)}
-    masks = {n: [sum(1 << i for i in r[lo:lo + w]) for lo, w in _cuts(len(r), k + 1)] for n, r in rest.items()}
-    signed = [[m - (1 << 64) if m >= 1 << 63 else m for m in masks[n]] for n in range(len(choices))]
-    bands = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in signed])
-
-    # At most (rows / hot_bucket) buckets are hot, which bounds their broadcast.
-    hot = keep(keyed.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket)
-               .select("choice", "value"))
-    rows = keyed
-    if not hot.isEmpty():
-        split = (keyed.drop("band", "part").join(F.broadcast(hot), ["choice", "value"])
-                 .withColumn("_m", F.element_at(bands, F.col("choice") + 1))
-                 .select("code", "choice", "value", F.posexplode("_m").alias("band", "mask"))
-                 .select("code", "choice", "value", "band", F.col("code").bitwiseAND(F.col("mask")).alias("part")))
-        rows = keyed.join(F.broadcast(hot), ["choice", "value"], "left_anti").select(*split.columns).unionByName(split)
-    left = rows.withColumnRenamed("code", "left")
-    right = rows.withColumnRenamed("code", "right")
-    x = F.col("left").bitwiseXOR(F.col("right"))
-    agree = F.lit(0)
-    for b, cut in enumerate(cuts):
-        agree = agree + F.when(_block(x, cut) == 0, F.lit(1 << b)).otherwise(F.lit(0))
-    table = F.array(*[F.lit(v) for v in first])
-    pairs = (left.join(right, ["choice", "value", "band", "part"]).where("left < right")
-             .where(hamming(F.col("left"), F.col("right")) <= k)
-             .where(F.element_at(table, (agree + 1).cast("int")) == F.col("choice")))
-    # Of the finer bands, keep the first that agrees.
-    mask_row = F.element_at(bands, F.col("choice") + 1)
-    earlier = F.exists(F.slice(mask_row, 1, F.greatest(F.col("band"), F.lit(0))),
-                       lambda m: x.bitwiseAND(m) == 0)
-    return (pairs.where((F.col("band") < 0) | ~earlier)
-            .select("left", "right", hamming(F.col("left"), F.col("right")).cast("int").alias("distance")))
+    def keyed(self, codes: DataFrame, code: str = "code") -> DataFrame:
+        """(code, choice, value): one row for each choice of blocks."""
+        return codes.select(F.col(code).alias("code")).select("code", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("choice"), self._key(c).alias("value")) for n, c in enumerate(self.choices)])).alias("_k")
+        ).select("code", "_k.choice", "_k.value")
+
+    def meet(self, left: DataFrame, right: DataFrame, hot_bucket: int = 5000) -> DataFrame:
+        """(left, right, distance): codes of ``left`` within ``k`` bits of one of ``right``, both keyed.
+
+        A pair comes out at the first choice it agrees on only, which replaces a distinct.
+        Buckets of ``right`` with more than ``hot_bucket`` codes are cut again over the whole code
+        with k+1 finer bands, so a popular key is split by content, not capped.
+        """
+        # At most (rows / hot_bucket) buckets are hot, which bounds their broadcast.
+        hot = keep(right.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket)
+                   .select("choice", "value"))
+        crowded = not hot.isEmpty()
+
+        def banded(keyed: DataFrame) -> DataFrame:
+            plain = keyed.select("code", "choice", "value", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"))
+            if not crowded:
+                return plain
+            split = (keyed.join(F.broadcast(hot), ["choice", "value"])
+                     .withColumn("_m", F.element_at(self.bands, F.col("choice") + 1))
+                     .select("code", "choice", "value", F.posexplode("_m").alias("band", "mask"))
+                     .select("code", "choice", "value", "band", F.col("code").bitwiseAND(F.col("mask")).alias("part")))
+            return plain.join(F.broadcast(hot), ["choice", "value"], "left_anti").select(*split.columns).unionByName(split)
+
+        x = F.col("left").bitwiseXOR(F.col("right"))
+        agree = F.lit(0)
+        for b, cut in enumerate(self.cuts):
+            agree = agree + F.when(_block(x, cut) == 0, F.lit(1 << b)).otherwise(F.lit(0))
+        table = F.array(*[F.lit(v) for v in self.first])
+        itself = left is right
+        pairs = (banded(left).withColumnRenamed("code", "left").join(banded(right).withColumnRenamed("code", "right"), ["choice", "value", "band", "part"])
+                 .where("left < right" if itself else "left <> right")
+                 .where(hamming(F.col("left"), F.col("right")) <= self.k)
+                 .where(F.element_at(table, (agree + 1).cast("int")) == F.col("choice")))
+        # Of the finer bands, keep the first that agrees.
+        mask_row = F.element_at(self.bands, F.col("choice") + 1)
+        earlier = F.exists(F.slice(mask_row, 1, F.greatest(F.col("band"), F.lit(0))),
+                           lambda m: x.bitwiseAND(m) == 0)
+        return (pairs.where((F.col("band") < 0) | ~earlier)
+                .select("left", "right", hamming(F.col("left"), F.col("right")).cast("int").alias("distance")))
+
+
+def near_code_pairs(codes: DataFrame, code: str, k: int = NEAR_BITS, bits: int = 64,
+                    blocks: int | None = None, hot_bucket: int = 5000) -> DataFrame:
+    """(left, right, distance) of distinct codes within Hamming distance ``k``; exact."""
+    cut = Blocks(blocks or choose_blocks(codes.count(), bits, k), k, bits)
+    rows = cut.keyed(codes, code)
+    return cut.meet(rows, rows, hot_bucket)
 
 
 def near_links(items: DataFrame, item: str, code: str, k: int = NEAR_BITS, bits: int = 64,

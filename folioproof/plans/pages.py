@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geometry as G, labels as L, rules as U, scalar as S
 from ..operators import coverage as C, detect as D, export as E, images as I, recipes as R, scoring as P
 from ..operators.classify import board_squares
-from ..operators.components import components
+from ..operators.components import components, exclusion_closure
+from ..operators.pairs import active_pages, known_pairs
 from ..operators.splits import component_sizes, freeze
 from ..sources import views as V
 from ..streaming.reviews import fold, without_retries
 from ..streaming.runs import judged_results, liveness
 from . import evaluation  # noqa: F401  (its views are used here)
-from .curation import FREEZE, queue_pages, sided
+from .curation import FREEZE, decisions, queue_pages
 from .registry import Tables, query, view
 from .session import keep, shared_path, shuffle_partitions
 
@@ -518,19 +519,20 @@ def scored_pages(t: Tables) -> DataFrame:
                       F.array_join(F.transform("providers", lambda p: p["id"]), ",").alias("providers"))
 
 
-_chosen = """SELECT s.id, s.source, a.split, s.kind, s.revision, s.sha, s.kind IN ('boards', 'negative') AS detector_eligible FROM smp s JOIN act a ON a.id = s.id
-  WHERE accepted AND a.split IN ('train', 'dev') AND s.id NOT IN (SELECT b FROM sided WHERE decision = 'duplicate')
-  AND s.source NOT IN (SELECT x.id FROM src x JOIN src y ON x.n // 4 = y.n // 4 WHERE y.id IN (SELECT source FROM worst))"""
-view("chosen", _chosen.replace("src ", "{src} ").replace("FROM worst", "FROM {worst}").replace("smp s", "{smp} s").replace("act a", "{act} a").replace("FROM sided", "FROM {sided}"))
+view("shut", "SELECT x.id FROM {src} x JOIN {src} y ON x.n // 4 = y.n // 4 WHERE y.id IN (SELECT source FROM {worst}) UNION SELECT source FROM {excl}")
+view("open", "SELECT s.id, s.source, s.sha, o.split FROM {smp} s JOIN {src} o ON o.id = s.source WHERE s.source NOT IN (SELECT id FROM {shut})")
+view("chosen", """SELECT s.id, s.source, a.split, s.kind, s.revision, s.sha, s.kind IN ('boards', 'negative') AS detector_eligible FROM {smp} s JOIN {open} a ON a.id = s.id
+  WHERE accepted AND a.split IN ('train', 'dev') AND s.id NOT IN (
+    SELECT d.b FROM {said} d JOIN {open} p ON p.id = d.a JOIN {open} q ON q.id = d.b AND q.sha = p.sha WHERE d.decision = 'duplicate')""")
 
 
 def chosen(t: Tables) -> DataFrame:
-    from ..operators.components import exclusion_closure
-    from ..operators.pairs import dropped_duplicates as dropped
-    # Sources of which a tenth is toxic take all of their lineage with them.
+    # Sources of which a tenth is toxic take all of their lineage with them; what is out is out for duplicates too.
     seeds = V.exclusions(t.documents, t.labels, 10).select(F.col("source").alias("id"), "reason")
-    excluded = t.exclusions().unionByName(exclusion_closure(t.sources(), seeds))
-    return E.selection(t.samples(), t.sources(), excluded, dropped(sided(t))).select("id", "source", "split", "kind", "revision", "sha", "detector_eligible")
+    excluded = keep(t.exclusions().unionByName(exclusion_closure(t.sources(), seeds)))
+    pages = active_pages(t.samples(), t.sources(), excluded, "sha")
+    dropped = known_pairs(pages, "sha", decisions(t)).select(F.col("b").alias("id")).distinct()
+    return E.selection(t.samples(), t.sources(), excluded, dropped).select("id", "source", "split", "kind", "revision", "sha", "detector_eligible")
 
 
 @query("SELECT * FROM chosen", "chosen")
@@ -538,7 +540,7 @@ def export_selection(t: Tables) -> DataFrame:
     return chosen(t)
 
 
-_pieces = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS HUGEINT) AS s{i}" for i in range(4))
+_pieces = ", ".join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)), 0) AS HUGEINT) AS s{i}" for i in range(4))
 
 
 @query(f"""SELECT n AS rows, sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS digest FROM (SELECT count(*) AS n, {_pieces} FROM (
