@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from folioproof.llm import decontaminate, jaccard, packing, passages, toxicity
 from folioproof.llm.labelled import fold
 from folioproof.llm.queries import vocabulary
-from folioproof.llm.shared import put
-from folioproof.plans.session import ship
+from folioproof.llm.shared import put, ready
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,13 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, Jaccard of 0.8 or more: the smallest id of each component stays."""
-    ship(spark)
+    ready(spark)
     return jaccard.one_of_each(docs, n=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay in the smallest id that has them."""
-    ship(spark)
+    ready(spark)
     return passages.remove(docs)
 
 
@@ -40,7 +39,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return packing.pack(docs, vocabulary())
 
 

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.session import shared_path
+from ..plans.session import ship, shared_path
 
 #: A key is hot when it holds more than this share of the rows, so at most HOT_KEYS keys are.
 HOT_KEYS = 1000
 
 
+#: Bytes of a batch of texts on its way to Python and back, whatever the session says: a row can hold a whole text.
+BATCH_BYTES = "8m"
+
+
+def ready(spark: SparkSession) -> None:
+    """The settings that the operators rely on; a pipeline stage can be called in any session."""
+    ship(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def put(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors."""
     path = shared_path(df.sparkSession, name)
