@@ -75,6 +75,46 @@ def linked_components(links: DataFrame, hot_rows: int | None = None) -> DataFram
         mark = now
 
 
+def grown(labels: DataFrame, members: DataFrame, added: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(item, component) after ``added`` rows (item, key), given the labels and rows (item, key) before.
+
+    Old components are nodes now: a new row ties the node of its item to the node that holds its
+    key, or to the least new node with that key.  Only this graph, as large as the change, runs
+    through rounds; then components that met get their common label.  Equal to a full run.
+    """
+    added = keep(added.select("item", "key").distinct())
+    new_items = added.select("item").distinct()
+    nodes = keep(new_items.join(labels, "item", "left").select("item", F.coalesce("component", "item").alias("node")))
+    rows = keep(added.join(nodes, "item").select("node", "key").distinct())
+    # A key lies in one component, so any old row of it tells which.
+    wanted = rows.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("_rows"))
+    held = (members.select("item", "key").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("item").alias("item"))
+            .join(labels, "item").select("key", F.col("component").alias("holder")))
+    heads = wanted.join(held, "key", "left").select("key", "_rows", F.coalesce("holder", "least").alias("head"))
+    ties = lookup(rows, heads, "key", "_rows", hot_rows, rows.count()).select(F.col("node").alias("u"), F.col("head").alias("v"))
+    moved = keep(linked_components(ties, hot_rows))
+    every = keep(labels.select("item", "component").unionByName(
+        nodes.join(labels, "item", "left_anti").select("item", F.col("node").alias("component"))))
+    named = _sizes(every).join(moved.select(F.col("u").alias("component"), F.col("v").alias("_new")), "component", "left")
+    return lookup(every, named, "component", "_rows", hot_rows, every.count()).select("item", F.coalesce("_new", "component").alias("component"))
+
+
+def _sizes(labels: DataFrame) -> DataFrame:
+    """(component, _rows): a component can hold most items, so what is to be known of it goes through ``lookup``."""
+    return labels.groupBy("component").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def shrunk(labels: DataFrame, members: DataFrame, removed: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(item, component) after the items of ``removed`` are gone: only components that lose an item are worked out again."""
+    gone = keep(removed.select("item").distinct())
+    hit = keep(labels.join(gone, "item", "left_semi").select("component").distinct())
+    told = _sizes(labels).join(hit.withColumn("_hit", F.lit(True)), "component", "left")
+    rows = keep(lookup(labels, told, "component", "_rows", hot_rows))
+    inside = rows.where("_hit").select("item").join(gone, "item", "left_anti")
+    again = components(members.select("item", "key").join(inside, "item", "left_semi"), hot_rows=hot_rows)
+    return rows.where("_hit IS NULL").select("item", "component").unionByName(again)
+
+
 def exclusion_closure(sources: DataFrame, seeds: DataFrame) -> DataFrame:
     """Sources to exclude: every source in the lineage component of a seed (id, reason)."""
     found = components(lineage_edges(sources))

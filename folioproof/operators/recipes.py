@@ -69,21 +69,28 @@ def random_labels(seed: Column | str, index: Column, board: int, occupied: Colum
         start, lambda first: let(occupied, lambda most: placed(order, first, most)))))
 
 
+#: How strong each effect is: grain in grey levels, share of ink lost, uneven light, passes of softening.
+STRENGTH = {"blank": (0.0, 0.0, 0.0, 0), "paper": (2.5, 0.0, 0.01, 0), "faded": (0.5, 0.05, 0.03, 0), "soft": (0.5, 0.01, 0.01, 1)}
+
+
 def degradation(seed: Column | str, index: Column) -> Column:
-    variant = _pick(EFFECTS, index % 4)
-    return F.struct(
-        variant.alias("variant"), digest_number(seed, index, F.lit("effect")).alias("seed"),
-        F.when(variant == "blank", 0.0).when(variant == "paper", 1.2).otherwise(0.7).alias("paper_noise"),
-        F.when(variant == "blank", 0.0).when(variant == "faded", 0.06).when(variant == "soft", 0.035)
-        .otherwise(0.015).alias("ink_fade"),
-        F.when(variant == "blank", 0.0).when(variant == "faded", 0.04).otherwise(0.02).alias("illumination"),
-        F.when(variant == "soft", 1).otherwise(0).alias("blur_radius"))
+    """The effect of a page, in turn, with its strengths and a seed of its own."""
+    variant = _pick(EFFECTS, index % len(EFFECTS))
+    table = F.create_map(*[x for name, values in STRENGTH.items() for x in (F.lit(name), F.struct(*[
+        F.lit(v).alias(field) for v, field in zip(values, ("paper_noise", "ink_fade", "illumination", "blur_radius"))]))])
+    return let(table[variant], lambda s: F.struct(
+        variant.alias("variant"), digest_number(seed, index, F.lit("effect")).alias("seed"), s["paper_noise"].alias("paper_noise"),
+        s["ink_fade"].alias("ink_fade"), s["illumination"].alias("illumination"), s["blur_radius"].alias("blur_radius")))
+
+
+#: How much farther the far edge of a tilted page is than the near one.
+TILT = 0.06
 
 
 def perspective(width: Column, height: Column, index: Column) -> Column:
-    matrix = F.array(*[c.cast("double") for c in (
-        F.lit(0.94), F.lit(0.0), width * 0.02, F.lit(0.0), F.lit(0.94), height * 0.02,
-        F.when(index % 2 == 1, 0.035).otherwise(-0.025) / width, F.lit(0.025) / height, F.lit(1.0))])
+    """Every fifth page is tilted back about its left or its top edge; nothing leaves the page."""
+    sideways = (index % 2 == 1).cast("double")
+    matrix = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), TILT * sideways / width, TILT * (1 - sideways) / height, F.lit(1.0))
     return F.when(index % 5 == 4, matrix)
 
 

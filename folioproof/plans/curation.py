@@ -10,6 +10,7 @@ from ..operators.export import validation_report
 from ..sources import manifests as M, views as V
 from .ordered import running
 from .registry import Tables, query, view
+from .session import keep
 
 view("src", """SELECT id, n, CASE WHEN n % 10 < 6 THEN 'train' WHEN n % 10 < 8 THEN 'dev' WHEN n % 10 = 8
   THEN 'qualification' ELSE 'regression' END AS split, sha256(id) AS sha256
@@ -219,6 +220,20 @@ def components(t: Tables) -> DataFrame:
     return C.components(V.items(t.documents))
 
 
+view("left_item", "SELECT * FROM {item} WHERE item % 29 <> 5")
+view("left_edge", "SELECT DISTINCT x.item AS u, y.item AS v FROM {left_item} x JOIN {left_item} y USING (key)")
+
+
+@query("""RECURSIVE reach(u, v) AS (SELECT u, u FROM left_edge UNION SELECT r.u, e.v FROM reach r JOIN left_edge e ON e.u = r.v)
+  SELECT u AS item, min(v) AS component FROM reach GROUP BY u""", "left_item", "left_edge")
+def maintained_components(t: Tables) -> DataFrame:
+    """Components after items were added to a labelled table, and others taken out."""
+    items = keep(V.items(t.documents))
+    old, added = items.where("item % 4 <> 3"), items.where("item % 4 = 3")
+    labels = keep(C.grown(keep(C.components(old)), old, added))
+    return C.shrunk(labels, items, items.where("item % 29 = 5"))
+
+
 view("tie", "SELECT DISTINCT x.id AS u, y.id AS v FROM {token} x JOIN {token} y USING (kind, value)")
 
 
@@ -269,7 +284,6 @@ def frozen_split(t: Tables) -> DataFrame:
   LEFT JOIN (SELECT split, count(*) AS boards, string_agg(DISTINCT set, ',' ORDER BY set) AS sets, string_agg(DISTINCT position_kind, ',' ORDER BY position_kind) AS position_kinds,
       count(*) FILTER (WHERE side = 0) AS white_bottom, count(*) FILTER (WHERE side = 1) AS black_bottom FROM board GROUP BY split) b USING (split)""", "item", "edge")
 def split_summary(t: Tables) -> DataFrame:
-    from .session import keep
     members = keep(C.components(V.items(t.documents)))
     split = S.freeze(S.component_sizes(members), 7)
     d = F.col("doc_id")

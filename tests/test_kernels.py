@@ -31,28 +31,28 @@ def test_rectify_follows_the_bilinear_rule():
                 assert got[y, x, c] == math.floor(v + 0.5)
 
 
-def _mixed(v):
-    m = 0xFFFFFFFF
-    v = (v + 0x6D2B79F5) & m
-    v = ((v ^ (v >> 15)) * (v | 1)) & m
-    v ^= (v + (((v ^ (v >> 7)) * (v | 61)) & m)) & m
-    return ((v ^ (v >> 14)) & m) / 2 ** 32
-
-
-def test_noise_is_the_32_bit_mix():
-    keys = np.array([0, 1, 77, 123456789, 0xFFFFFFFF], dtype=np.uint64)
-    assert R._noise(keys) == pytest.approx([_mixed(int(k)) for k in keys])
-
-
-def test_degrade_keeps_blank_and_blurs_soft():
-    rgb = np.full((5, 6, 3), 200, dtype=np.uint8)
-    assert (R.degrade(rgb, "blank", 5, 0, 0, 0, 0) == rgb).all()
-    faded = R.degrade(rgb, "faded", 5, 0.0, 0.06, 0.0, 0)
-    assert (faded == round(200 + 55 * 0.06)).all()
-    dot = np.full((5, 5, 3), 255, dtype=np.uint8)
-    dot[2, 2] = 0
-    soft = R.degrade(dot, "soft", 0, 0.0, 0.0, 0.0, 1)
-    assert soft[2, 2, 0] == round(0.25 * round(255 * 2 / 3 + (255 - 255 * 2 / 3) * 2 / 3)) or soft[2, 2, 0] > 0
+def test_grain_is_even_and_its_own():
+    g = R.grain(7, 300, 200)
+    assert (g == R.grain(7, 300, 200)).all() and (g[:50, :60] == R.grain(7, 50, 60)).all()
+    assert g.min() >= -1 and g.max() < 1 and abs(g.mean()) < 0.01 and abs(g.std() - 6 ** -0.5) < 0.01
+    other = R.grain(8, 300, 200)
+    assert abs(np.corrcoef(g.ravel(), other.ravel())[0, 1]) < 0.02 and abs(np.corrcoef(g[:-1].ravel(), g[1:].ravel())[0, 1]) < 0.02
+
+
+def test_degrade_properties():
+    rng = np.random.default_rng(1)
+    page = rng.integers(0, 256, (40, 30, 3), dtype=np.uint8)
+    assert (R.degrade(page, "blank", 5, 3, 0.5, 0.5, 2) == page).all()
+    assert (R.degrade(page, "paper", 5, 0, 0, 0, 0) == np.maximum(page, 1)).all()
+    noisy = R.degrade(page, "paper", 5, 3, 0, 0, 0).astype(int) - np.maximum(page, 1)
+    assert 1 <= np.abs(noisy).max() <= 3 and abs(noisy.mean()) < 0.2
+    faded = R.degrade(page, "faded", 5, 0, 0.2, 0, 0)
+    assert (faded >= np.maximum(page, 1)).all() and (R.degrade(np.full_like(page, 255), "faded", 5, 0, 0.2, 0, 0) == 255).all()
+    flat = np.full((21, 21, 3), 100, np.uint8)
+    lit = R.degrade(flat, "faded", 90, 0, 0, 0.1, 0).astype(int)
+    assert lit[0, 0, 0] < 100 < lit[-1, 0, 0] and abs(lit.mean() - 100) < 1
+    soft = R.degrade(page, "soft", 5, 0, 0, 0, 1)
+    assert soft.std() < page.std() and (R.degrade(flat, "soft", 5, 0, 0, 0, 2) == 100).all()
 
 
 def test_difference_hash_of_a_ramp():
