@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import canonical
 from ..operators import integrity as I, merkle as M
 from ..operators.near_gate import near_blockers
-from ..sources import manifests
+from ..sources import json_edge, manifests
 from ..sources.digests import file_digests
 from .curation import validation
 from .near import near_gated
@@ -120,3 +120,28 @@ def snapshot_changes(t: Tables) -> DataFrame:
     M.write(first(t), "id", old)
     M.write(later(t), "id", new)
     return M.changes(t.spark, old, new, "id")
+
+
+# --- JSON records -----------------------------------------------------------
+
+#: What a record must hold, and its most bytes.
+RECORD = {"id": ("$.id", "bigint"), "lang": ("$.lang", "string"), "chars": ("$.meta.chars", "bigint"), "score": ("$.meta.score", "double")}
+LONGEST = 2000
+_RECORD = """'{"id":' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 17 = 4 THEN '' ELSE ',"lang":"' || lang || '"' END || ',"meta":{"chars":' || CASE WHEN doc_id % 11 = 2 THEN '"many"' ELSE CAST(n_chars AS STRING) END
+  || ',"score":' || CASE WHEN doc_id % 13 = 3 THEN '"NaN"' WHEN doc_id % 13 = 4 THEN 'null' ELSE CAST(n_chars % 97 AS STRING) || '.5' END || '},"pad":"' || repeat('x', CAST(n_chars % 3000 AS INT)) || '"'
+  || CASE WHEN doc_id % 7 = 1 THEN '' ELSE '}' END"""
+
+
+@query(f"""WITH r AS (SELECT {_RECORD} AS t FROM documents WHERE n_chars IS NOT NULL AND lang IS NOT NULL),
+  k AS (SELECT sha256(t) AS line, strlen(t) AS n, json_valid(t) AS ok, CASE WHEN json_valid(t) THEN t END AS t FROM r)
+  SELECT line, 'oversize' AS code FROM k WHERE n > {LONGEST}
+  UNION ALL SELECT line, 'malformed' FROM k WHERE n <= {LONGEST} AND NOT ok
+  UNION ALL SELECT line, 'missing:lang' FROM k WHERE n <= {LONGEST} AND ok AND json_extract_string(t, '$.lang') IS NULL
+  UNION ALL SELECT line, 'type:chars' FROM k WHERE n <= {LONGEST} AND ok AND json_type(t, '$.meta.chars') NOT IN ('UBIGINT', 'BIGINT')
+  UNION ALL SELECT line, 'missing:score' FROM k WHERE n <= {LONGEST} AND ok AND json_extract_string(t, '$.meta.score') IS NULL
+  UNION ALL SELECT line, 'non-finite:score' FROM k WHERE n <= {LONGEST} AND ok AND NOT isfinite(TRY_CAST(json_extract_string(t, '$.meta.score') AS DOUBLE))""")
+def json_violations(t: Tables) -> DataFrame:
+    """Records written as JSON lines and read again, some of them broken."""
+    folder = shared_path(t.spark, "records")
+    t.documents.where("n_chars IS NOT NULL AND lang IS NOT NULL").select(F.expr(_RECORD).alias("value")).write.text(folder)
+    return json_edge.violations(t.spark.read.text(folder), "value", RECORD, LONGEST)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioproof.operators import integrity as I, merkle as M
 from folioproof.plans.session import shared_path
-from folioproof.sources import digests as D
+from folioproof.sources import digests as D, json_edge
 
 
 def test_files_of_any_size(spark, tmp_path, monkeypatch):
@@ -69,3 +69,20 @@ def test_stored_snapshots_are_refused_twice(spark):
     M.write(rows, "id", path, digits=2)
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
         M.write(rows, "id", path, digits=2)
+
+
+def test_json_edge(spark):
+    paths = {"id": ("$.id", "bigint"), "x": ("$.a.x", "double")}
+    lines = {'{"id":1,"a":{"x":1.5}}': [], '{"id":"z","a":{"x":2}}': ["type:id"], '{"id":2}': ["missing:x"], '{"id":3,"a":{"x":"Infinity"}}': ["non-finite:x"],
+             '{"id":4,"a":{"x":null}}': ["missing:x"], '{"id":5': ["malformed"], "[1]": ["malformed"], "7": ["malformed"], "": ["malformed"], "null": ["malformed"],
+             '{"id":6,"pad":"' + "x" * 100 + '"}': ["oversize"]}
+    df = spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string")
+    got = {}
+    for r in json_edge.violations(df, "value", paths, 60).collect():
+        got.setdefault(r.line, []).append(r.code)
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {digest(x): c for x, c in lines.items() if c}
+    want[digest("")] = ["malformed", "malformed"]
+    assert got == want
+    row = df.where("value LIKE '%1.5%'").select(*json_edge.typed(F.col("value"), paths)).first()
+    assert (row.id, row.x) == (1, 1.5)
