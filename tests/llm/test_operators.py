@@ -169,6 +169,37 @@ def test_fuzzy_passages(spark):
     assert found[9001].n_repeated >= 690 and all(found[i].n_repeated == 0 for i in range(0, len(planted) * 2, 2))
 
 
+def test_fuzzy_passages_beside_fragments(spark):
+    # Earlier texts hold both halves of a passage, too short to be passages; the edited copy is still found.
+    rng = random.Random(13)
+    planted, texts = {}, []
+    for size, every in ((70, 14), (90, 15), (90, 10), (90, 7), (120, 10)):
+        for _ in range(40):
+            a = fresh(rng, size)
+            b = [f"e{rng.randrange(10 ** 9)}" if j % every == every - 1 else w for j, w in enumerate(a)]
+            i = len(texts)
+            half = min(size // 2, 45)
+            for part in (a[:half], a[half:half + 45], a[90:], a, b):
+                texts.append((len(texts), " ".join(fresh(rng, 100) + part + fresh(rng, 100))))
+            planted[i + 4] = size, every
+    found = {r.doc_id: r for r in passages.repeats(table(spark, texts)).collect()}
+    share = {}
+    for i, key in planted.items():
+        share.setdefault(key, []).append(any(x["first"] <= 100 + key[1] and x["last"] >= 100 + key[0] - key[1] for x in found[i].spans))
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    print(share)
+    assert min(share.values()) >= 0.9 and all(r.n_repeated == 0 for i, r in found.items() if i not in planted), share
+
+
+def test_passages_with_clashing_columns(spark):
+    rng = random.Random(14)
+    p = " ".join(fresh(rng, 80))
+    rows = [(i, f"head{i} {p} tail{i}", "kept", i) for i in range(3)]
+    got = passages.remove(spark.createDataFrame(rows, "doc_id long, text string, _id0 string, _spans0 int"), chars="none").collect()
+    assert {(r.doc_id, r["_id0"], r["_spans0"]) for r in got} == {(i, "kept", i) for i in range(3)}
+    assert [r.text == f"head{r.doc_id} {p} tail{r.doc_id}" for r in sorted(got)] == [True, False, False]
+
+
 def test_chains_are_best():
     rng = random.Random(2)
     for _ in range(60):
