@@ -1,4 +1,9 @@
-"""License notices by alignment with templates: the longest rising run of equal words, by patience piles."""
+"""License notices by patience alignment with templates.
+
+Where enough template words stand close together, the text from there is aligned with the template:
+words that both have once are anchors, the longest rising run of them stays, gaps are aligned again.
+A notice is the best stretch of matched words; its coverage is their share of the template.
+"""
 
 from __future__ import annotations
 
@@ -86,13 +91,12 @@ class Templates:
         self.words = [w.hashes[a:b].tolist() for a, b in zip(w.bounds[:-1], w.bounds[1:])]
         self.known = np.unique(w.hashes)
         self.sets = [Counter(x) for x in self.words]
-        self.places = [{t: [y for y in range(len(x) - 1, -1, -1) if x[y] == t] for t in x} for x in self.words]
 
     def scan(self, text: list[int], held: np.ndarray) -> list[dict]:
         """Notices in one text, wherever its lines break: for each template all copies that do not overlap."""
         out = []
         have = Counter(t for t, h in zip(text, held.tolist()) if h)
-        for name, template, need, places in zip(self.names, self.words, self.sets, self.places):
+        for name, template, need in zip(self.names, self.words, self.sets):
             least = self.coverage * len(template)
             # No alignment can match more than the words both have.
             if sum(min(n, have[t]) for t, n in need.items()) < least:
@@ -101,12 +105,13 @@ class Templates:
             for s in dense(text, need, least, 2 * len(template)):
                 if s < end:
                     continue
-                # Words scattered over more than twice the template are no notice.
-                last = s + _extent(text[s:s + 2 * len(template)], places, least)
-                if last > s:
-                    first = last - _extent(text[s:last][::-1], {w: [len(template) - 1 - y for y in p][::-1] for w, p in places.items()}, least)
+                found = notice(text, template, s, least)
+                # Words of an earlier sentence may have moved the end of what was aligned.
+                found = found and max(found, notice(text, template, found[1], least) or found)
+                if found:
                     # Copies in a row are found one by one.
-                    out.append({"license": name, "coverage": _common(text[first:last], places)[-1] / len(template), "first": first, "last": last})
+                    _, first, last, n = found
+                    out.append({"license": name, "coverage": n / len(template), "first": first, "last": last})
                     end = last
         return out
 
@@ -129,25 +134,38 @@ def dense(text: list, need: Counter, least: float, size: int) -> Iterator[int]:
             both -= have[word] < need[word]
 
 
-def _common(text: list, places: dict) -> list[int]:
-    """The length of the longest common subsequence with the template after each word of the text.
+#: Words of text that are aligned with a template, as multiples of its own: words scattered over more are no notice.
+_SIZES = (1, 1.25, 1.5, 2)
+
+
+def notice(text: list, template: list, start: int, least: float) -> tuple[float, int, int, int] | None:
+    """(score, first, last, matched words) of the best notice in the words from ``start``, the shortest of equals.
 
-    It is the longest rising run over all pairs of equal words, found by the same piles.
+    Several lengths are aligned: in a longer one the next copy can take the anchors away,
+    in a shorter one a notice with added words has no room.
     """
-    tops: list[int] = []
-    out = []
-    for word in text:
-        for y in places.get(word, ()):  # descending, so that a word is matched once
-            pile = bisect_left(tops, y)
-            tops[pile:pile + 1] = [y]
-        out.append(len(tops))
-    return out
-
-
-def _extent(text: list, places: dict, least: float) -> int:
-    """How many words from the start are a notice of ``least`` matched words or more, 0 if none: a matched word weighs two passed ones."""
-    score = [(2 * n - i, -i) for i, n in enumerate(_common(text, places), 1) if n >= least]
-    return -max(score)[1] if score else 0
+    best = None
+    for size in _SIZES:
+        matched = align(text[start:start + int(size * len(template))], template)
+        found = stretch([start + i for i, _ in matched], least)
+        if found and (best is None or found[0] > best[0]):
+            best = found
+    return best
+
+
+def stretch(at: list[int], least: float) -> tuple[float, int, int, int] | None:
+    """(score, first, last, n) of the best run of at least ``least`` matched words at rising places: a matched word weighs two passed ones."""
+    need, best, begin = max(int(-(-least // 1)), 1), None, None
+    for q in range(need - 1, len(at)):
+        # A run from p to q scores 2 (q - p + 1) - (at[q] - at[p] + 1), so the best p has the greatest at[p] - 2 p.
+        p = q - need + 1
+        if begin is None or at[p] - 2 * p >= at[begin] - 2 * begin:
+            begin = p
+        n = q - begin + 1
+        score = 2 * n - (at[q] - at[begin] + 1)
+        if best is None or score > best[0]:
+            best = score, at[begin], at[q] + 1, n
+    return best
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))

@@ -325,6 +325,13 @@ def test_patience():
     a, b = "a x b c d y e".split(), "a b c z d e".split()
     assert [a[i] for i, _ in licenses.align(a, b)] == ["a", "b", "c", "d", "e"]
     assert licenses.align([], b) == [] and licenses.align(a, []) == []
+    rng = random.Random(5)
+    for _ in range(200):
+        at = sorted(rng.sample(range(30), rng.randrange(1, 12)))
+        need = rng.randrange(1, 6)
+        runs = [(2 * (q - p + 1) - (at[q] - at[p] + 1), q - p + 1) for p in range(len(at)) for q in range(p + need - 1, len(at))]
+        got = licenses.stretch(at, need - 0.5)
+        assert (got and got[0]) == (max(runs)[0] if runs else None)
 
 
 def test_licenses(spark):
