@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioproof.llm import decontaminate, jaccard, licenses, passages, quality, spots, toxicity, url_rules, warc_zip
+from folioproof.llm import decontaminate, jaccard, joints, licenses, passages, quality, spots, toxicity, url_rules, warc_zip
 from folioproof.llm.labelled import Sample
 from folioproof.llm.queries import QUERIES, URL_RULES
 from folioproof.plans.registry import Tables
@@ -180,15 +180,18 @@ def test_fuzzy_passages_beside_fragments(spark):
             i = len(texts)
             half = min(size // 2, 45)
             for part in (a[:half], a[half:half + 45], a[90:], a, b):
-                texts.append((len(texts), " ".join(fresh(rng, 100) + part + fresh(rng, 100))))
-            planted[i + 4] = size, every
-    found = {r.doc_id: r for r in passages.repeats(table(spark, texts)).collect()}
+                texts.append((10000 + len(texts), " ".join(fresh(rng, 100) + part + fresh(rng, 100))))
+            planted[10000 + i + 4] = size, every
+    docs = table(spark, texts + ODD)
+    found = passages.passages(docs)
+    more = joints.beside_fragments(docs, found).collect()
     share = {}
     for i, key in planted.items():
-        share.setdefault(key, []).append(any(x["first"] <= 100 + key[1] and x["last"] >= 100 + key[0] - key[1] for x in found[i].spans))
+        share.setdefault(key, []).append(any(r.doc_id == i and r["first"] <= 100 + key[1] and r["last"] >= 100 + key[0] - key[1] for r in more))
     share = {k: sum(v) / len(v) for k, v in share.items()}
     print(share)
-    assert min(share.values()) >= 0.9 and all(r.n_repeated == 0 for i, r in found.items() if i not in planted), share
+    assert min(share.values()) >= 0.9 and {r.doc_id for r in more} <= set(planted), share
+    assert joints.beside_fragments(docs.limit(0), found.limit(0)).collect() == []
 
 
 def test_passages_with_clashing_columns(spark):
