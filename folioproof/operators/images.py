@@ -96,7 +96,7 @@ def rectified(pages: DataFrame, boards: DataFrame, size: int = R.GRID) -> DataFr
     ok = F.coalesce(polygon_area(F.col("corners")) > 1e-6, F.lit(False))
     # A valid page has at most 64 boards; more of them come in lists of 64.
     grouped = boards.groupBy("page", F.floor(F.col("number") / 64).alias("_list")).agg(F.collect_list(F.struct(
-        F.col("number").cast("long").alias("number"), flat(F.col("corners")).alias("corners"), ok.alias("ok"))).alias("boards")).drop("_list")
+        F.col("number").cast("long").alias("number"), F.when(ok, flat(F.col("corners"))).otherwise(F.array_repeat(F.lit(0.0), 8)).alias("corners"), ok.alias("ok"))).alias("boards")).drop("_list")
     joined = pages.select("page", "raster", "width", "height").join(grouped, "page")
 
     def cut(row: dict) -> Iterator[tuple]:

@@ -64,7 +64,8 @@ def score_pages(pages: DataFrame, registry: Registry, localizer: str, labeler: s
     """Localise, de-duplicate and label every page; one proposal row per page.
 
     Models are loaded once per Python worker, on the executors.  A page that fails comes
-    out with status 'error' and a warning instead of failing the job.  The provider
+    out with status 'error' and a warning instead of failing the job; one with more than
+    ``most_boards`` boards has that status too, and all of its boards.  The provider
     identities are columns of the result.
     """
     locate, locate_sha = registry.get("localization", localizer)
@@ -76,8 +77,6 @@ def score_pages(pages: DataFrame, registry: Registry, localizer: str, labeler: s
     def one(row: object, finder: Localizer, namer: Labeler) -> tuple[str, list[dict], list[str]]:
         try:
             found = distinct_grids(finder.locate(row))
-            if len(found) > most_boards:
-                return "error", [], [f"{len(found)} boards exceed the format"]
             out = []
             for b in found:
                 p = namer.label(row, b)
@@ -86,6 +85,8 @@ def score_pages(pages: DataFrame, registry: Registry, localizer: str, labeler: s
                             "labels": ["." if i is None else labels[i] for i in best], "orientation": "unknown",
                             "probabilities": p,
                             "uncertain": [i is None or q[i] < uncertain_below for i, q in zip(best, p)]})
+            if len(found) > most_boards:
+                return "error", out, [f"{len(found)} boards exceed the format"]
             return ("ok" if out else "unsupported"), out, []
         except Exception as error:  # noqa: BLE001 - a page's failure is data
             return "error", [], [f"{type(error).__name__}: {error}"[:300]]
