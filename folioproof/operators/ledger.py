@@ -7,16 +7,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.ordered import medians, ordered, scan
 
 
-def attempt_identity(ordinal: Column) -> Column:
-    """Stable identity of a copied attempt: its ledger id, else start and segment, else origin."""
+def attempt_identity(ordinal: Column, prior: Column | None = None) -> Column:
+    """Stable identity of a copied attempt: its ledger id, else start and segment, else origin.
+
+    The origin is the run it was copied from, or the run before (``prior``).  Empty ids count
+    as absent.
+    """
+    def given(value: Column) -> Column:
+        return F.when(value != "", value)
+
     segment = F.coalesce(F.col("segment"), F.lit("unknown"))
     start = F.concat(F.lit("legacy:"), F.format_string("%.9f", F.col("started_at")), F.lit(":"), segment)
-    origin = F.concat(F.col("source_run_id"), F.lit(":"),
-                      F.coalesce(F.col("source_attempt_index"), ordinal).cast("string"))
-    return F.coalesce(F.col("ledger_id"), F.when(F.col("started_at").isNotNull(), start), origin,
+    run = given(F.col("source_run_id")) if prior is None else F.coalesce(given(F.col("source_run_id")), given(prior))
+    origin = F.concat(run, F.lit(":"), F.coalesce(F.col("source_attempt_index"), ordinal).cast("string"))
+    return F.coalesce(given(F.col("ledger_id")), F.when(F.col("started_at").isNotNull(), start), origin,
                       F.concat(F.lit("current:"), ordinal.cast("string")))
 
 
+def has_no_identity() -> Column:
+    """Whether an attempt cannot be told from those of other runs: neither a ledger id nor a start."""
+    return (F.coalesce(F.col("ledger_id"), F.lit("")) == "") & F.col("started_at").isNull()
+
+
+def retained(attempts: DataFrame, order: list[str]) -> DataFrame:
+    """The attempts of all runs, each identity once, the first in ``order``; those that :func:`has_no_identity` are left out.
+
+    Feeds :func:`ledger_totals`.  Columns as in the run states, with ``ordinal`` and ``prior_run_id``.
+    """
+    return unique_attempts(attempts.where(~has_no_identity()).withColumn("identity", attempt_identity(F.col("ordinal"), F.col("prior_run_id"))), "identity", order)
+
+
 def unique_attempts(attempts: DataFrame, identity: str, order: list[str]) -> DataFrame:
     """The first attempt per identity.  An aggregate, so copies combine before the shuffle."""
     columns = [c for c in attempts.columns if c != identity]

@@ -379,6 +379,42 @@ def unique(t: Tables) -> DataFrame:
     return B.unique_attempts(V.attempts(t.lineitem), "ledger_id", V.ATTEMPT_ORDER)
 
 
+# Attempts as old and new run states tell them: some with a ledger id, some with a start, some copied from other runs.
+view("told", """SELECT l_orderkey AS run, l_linenumber - 1 AS ordinal, CASE l_linenumber % 7 WHEN 1 THEN l_partkey || '/' || l_suppkey WHEN 2 THEN '' END AS ledger_id,
+  CASE WHEN l_linenumber % 7 IN (1, 2, 3) THEN l_partkey * 0.5::DOUBLE END AS started_at, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS segment,
+  CASE l_linenumber % 7 WHEN 4 THEN 'run-' || l_suppkey WHEN 5 THEN '' END AS source_run_id, CASE WHEN l_linenumber % 7 IN (4, 5, 6) THEN 'prior-' || l_suppkey END AS prior_run_id,
+  CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS source_attempt_index, l_quantity AS elapsed_seconds, l_extendedprice AS price FROM lineitem""")
+view("ident", """SELECT *, CASE WHEN length(ledger_id) > 0 THEN ledger_id WHEN started_at IS NOT NULL THEN printf('legacy:%.9f:%s', started_at, coalesce(segment, 'unknown'))
+  WHEN coalesce(nullif(source_run_id, ''), prior_run_id) IS NOT NULL THEN coalesce(nullif(source_run_id, ''), prior_run_id) || ':' || coalesce(source_attempt_index, ordinal)
+  ELSE 'current:' || ordinal END AS identity, NOT (length(coalesce(ledger_id, '')) > 0 OR started_at IS NOT NULL) AS lost FROM {told}""")
+
+
+def told_attempts(t: Tables) -> DataFrame:
+    m = F.col("l_linenumber") % 7
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("run"), (F.col("l_linenumber") - 1).alias("ordinal"),
+        F.when(m == 1, F.concat_ws("/", "l_partkey", "l_suppkey")).when(m == 2, "").alias("ledger_id"), F.when(m.isin(1, 2, 3), F.col("l_partkey") * 0.5).alias("started_at"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("segment"), F.when(m == 4, F.concat(F.lit("run-"), "l_suppkey")).when(m == 5, "").alias("source_run_id"),
+        F.when(m.isin(4, 5, 6), F.concat(F.lit("prior-"), "l_suppkey")).alias("prior_run_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("source_attempt_index"),
+        F.col("l_quantity").alias("elapsed_seconds"), F.col("l_extendedprice").alias("price"))
+
+
+@query("SELECT identity, lost, count(*) AS attempts, round(sum(elapsed_seconds), 4) AS seconds FROM ident GROUP BY 1, 2", "ident")
+def attempt_identities(t: Tables) -> DataFrame:
+    """Who is who among the attempts, and which have no identity beyond their own run."""
+    named = told_attempts(t).withColumn("lost", B.has_no_identity()).withColumn("identity", B.attempt_identity(F.col("ordinal"), F.col("prior_run_id")))
+    return named.groupBy("identity", "lost").agg(F.count(F.lit(1)).alias("attempts"), F.round(F.sum("elapsed_seconds"), 4).alias("seconds"))
+
+
+@query("""SELECT coalesce(segment, 'all') AS segment, count(*) AS attempts, round(sum(seconds), 4) AS seconds FROM (
+  SELECT identity, coalesce(arg_min(coalesce(segment, '-'), o), '-') AS segment, arg_min(elapsed_seconds, o) AS seconds FROM (
+    SELECT *, (run, ordinal, elapsed_seconds, price) AS o FROM ident WHERE NOT lost) GROUP BY 1) GROUP BY GROUPING SETS ((segment), ())""", "ident")
+def retained_totals(t: Tables) -> DataFrame:
+    """Attempts of all runs counted once, whatever runs copied them."""
+    once = B.retained(told_attempts(t), ["run", "ordinal", "elapsed_seconds", "price"]).fillna("-", ["segment"])
+    return B.ledger_totals(once).withColumn("seconds", F.round("seconds", 4))
+
+
 @query("""SELECT coalesce(segment, 'all') AS segment, count(*) AS attempts, round(sum(seconds), 4) AS seconds FROM att GROUP BY GROUPING SETS ((segment), ())""", "att")
 def ledger_totals(t: Tables) -> DataFrame:
     return B.ledger_totals(unique(t)).withColumn("seconds", F.round("seconds", 4))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import near_gate as N
 from ..operators.near_index import NearIndex
+from ..operators.open_pairs import open_near_pages, open_equal_pages
+from .curation import active, decisions
 from .registry import Tables, query, view
 from .session import shared_path
 
@@ -173,3 +175,16 @@ def near_generations(t: Tables) -> DataFrame:
     added = rows.where("page % 6 >= 3 AND page % 17 <> 0").select("page", F.lit(0).cast("long").alias("revision"), "code")
     index.update(changed.unionByName(added), 2)
     return index.pairs()
+
+
+@query("""SELECT p.id, p.split, count(*) AS open_pairs FROM act p JOIN smp s ON s.id = p.id JOIN smp z ON z.sha = s.sha JOIN act q ON q.id = z.id AND q.split <> p.split
+  WHERE NOT EXISTS (SELECT 1 FROM said d WHERE d.decision = 'duplicate' AND ((d.a = p.id AND d.b = q.id) OR (d.a = q.id AND d.b = p.id))) GROUP BY 1, 2""", "act", "smp", "said")
+def open_pair_pages(t: Tables) -> DataFrame:
+    """Pages that may be shown for a decision: equal to an active page of another split, and nobody decided."""
+    return open_equal_pages(active(t), "sha", decisions(t))
+
+
+@query("""SELECT id, split, count(*) AS open_pairs FROM (SELECT unnest([a, b]) AS id FROM pair64 WHERE decision IS NULL AND split_left <> split_right) JOIN near64 USING (id) GROUP BY 1, 2""",
+       "pair64", "near64")
+def near_open_pages(t: Tables) -> DataFrame:
+    return open_near_pages(near_pages(t), near_rulings(t))

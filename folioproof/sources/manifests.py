@@ -21,7 +21,7 @@ SOURCE = (f"id string, sha256 string, split string, format string, max_bytes lon
 RECORD = ("struct<id:string,kind:string,url:string,revision:string,sha256:string,bytes:long,max_bytes:long,"
           "attribution:string,license:string,evidence_ids:array<string>,pages:array<int>,split:string,"
           "lineage:array<string>,conditions:array<string>>")
-ATTEMPT = ("struct<ledger_id:string,segment:string,started_at:double,elapsed_seconds:double,source_run_id:string,"
+ATTEMPT = ("struct<ledger_id:string,segment:string,started_at:double,elapsed_seconds:double,source_run_id:string,prior_run_id:string,"
            "source_attempt_index:int,inherited:boolean,state:string>")
 MAX_MANIFEST = 2 * 1024 * 1024
 

@@ -198,3 +198,12 @@ def test_failing_model_is_a_row(spark):
     pages = spark.createDataFrame([(1,)], "id long")
     row = P.score_pages(pages, registry, "broken", "none", "r", L.LABELS).first()
     assert row["status"] == "error" and row["warnings"] == ["ValueError: no"]
+
+
+def test_prior_runs_and_empty_ids(spark):
+    df = spark.createDataFrame([("", "a", None, "", "before", 2, 0), (None, "a", None, "from", "before", None, 1), (None, None, None, None, None, 5, 2), ("", None, 0.5, None, None, None, 3)],
+                               "ledger_id string, segment string, started_at double, source_run_id string, prior_run_id string, source_attempt_index int, ordinal int")
+    got = [r[0] for r in df.select(B.attempt_identity(F.col("ordinal"), F.col("prior_run_id"))).collect()]
+    assert got == ["before:2", "from:1", "current:2", "legacy:0.500000000:unknown"]
+    assert [r.identity for r in B.retained(df, ["ordinal"]).collect()] == ["legacy:0.500000000:unknown"]
+    assert [r[0] for r in df.select(B.has_no_identity()).collect()] == [True, True, True, False]

@@ -109,3 +109,26 @@ def test_boards_of_one_page_are_no_pair(spark):
 def test_empty(spark):
     docs, ruled, gated = gate_rows(spark, [], [])
     assert gated.collect() == [] and N.status(gated).first()[0] == 0
+
+
+def test_open_pages_against_all_pairs(spark):
+    import itertools
+    import random
+
+    from folioproof.operators import open_pairs as O
+    rng = random.Random(5)
+    base = [rng.getrandbits(62) for _ in range(6)]
+    pages = [(i, "s", rng.choice(["train", "dev", "regression", None]), [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(62), rng.choice([0, 0, 2, 3])))
+                                                                          for _ in range(rng.choice([0, 1, 1, 2]))]) for i in range(60)]
+    rulings = [(*rng.sample(range(60), 2), rng.choice(["duplicate", "distinct"])) for _ in range(150)]
+    settled = {frozenset(r[:2]) for r in rulings}
+    want = {}
+    for x, y in itertools.combinations(pages, 2):
+        if None not in (x[2], y[2]) and x[2] != y[2] and frozenset((x[0], y[0])) not in settled:
+            n = sum(bin(c ^ d).count("1") <= 4 for c in x[3] for d in y[3])
+            for i in (x[0], y[0]):
+                want[i] = want.get(i, 0) + n
+    df = spark.createDataFrame(pages, "id long, source string, split string, codes array<long>")
+    said = spark.createDataFrame(rulings, "a long, b long, decision string")
+    assert {r.id: r.open_pairs for r in O.open_near_pages(df, said, 4).collect()} == {k: v for k, v in want.items() if v}
+    assert O.open_near_pages(df.limit(0), said, 4).collect() == []
