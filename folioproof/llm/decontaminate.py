@@ -1,20 +1,27 @@
-"""Benchmark passages in documents: broadcast hash set of n-word windows, verified, then removed."""
+"""Benchmark passages in documents: broadcast hash set of n-word windows, verified, then removed.
+
+A benchmark within the limit of one broadcast is scanned in one pass.  A larger one is dealt to
+parts by the hash of its windows; each part is broadcast, scanned and given up before the next
+one, and what it hit is written by text, so neither the driver nor a task holds more than a part.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .shared import put
 
 N = 10
-#: Windows sent to the workers at once (about 100 bytes each).  A larger benchmark is
-#: scanned in several passes of at most so many windows, so nothing is left out.
+#: Windows on the driver and in a worker at one time (about 100 bytes each).  A larger benchmark
+#: is scanned in several passes of about so many windows, so nothing is left out.
 MAX_WINDOWS = 500_000
 _BITS = 20
 
@@ -73,14 +80,78 @@ class Index:
         return np.cumsum(hit)[:-1] > 0, items
 
 
-def _indexes(benchmark: DataFrame, n: int, key: str, text: str, limit: int) -> list:
-    """Broadcast indexes of at most about ``limit`` windows, together all windows."""
-    found = windows(benchmark, n, key, text)
-    count = found.count()
-    passes = max(1, -(-count // limit))
+class _OnePass:
+    """Hits of a block by one broadcast index."""
+
+    def __init__(self, index: Broadcast) -> None:
+        self.index = index
+
+    def __call__(self, part: pa.RecordBatch, w: W.Words) -> tuple[np.ndarray, dict[int, set]]:
+        return self.index.value.scan(w)
+
+
+class _Told:
+    """Hits of a block that came beside its texts, in the list column ``name``."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+    def __call__(self, part: pa.RecordBatch, w: W.Words) -> tuple[np.ndarray, dict[int, set]]:
+        hit, items = np.zeros(len(w.hashes), bool), {}
+        for i, told in enumerate(part.column(self.name).to_pylist()):
+            for one in told or ():
+                for a, b in zip(one["starts"], one["ends"]):
+                    hit[w.bounds[i] + a:w.bounds[i] + b] = True
+                items.setdefault(i, set()).update(one["items"])
+        return hit, items
+
+
+def _pass(docs: DataFrame, text: str, index: Broadcast) -> DataFrame:
+    """(print, starts, ends, items) of the texts that hold windows of this part, each text once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.blocks(batch, "t"):
+                w = W.words(part.column("t"), W.ALNUM)
+                hit, items = index.value.scan(w)
+                rows = []
+                for i in sorted(items):
+                    spans = W.runs(np.flatnonzero(hit[w.bounds[i]:w.bounds[i + 1]]))
+                    rows.append((part.column("p")[i].as_py(), [x for x, _ in spans], [y for _, y in spans],
+                                 sorted(items[i], key=lambda x: (x is not None, x))))
+                kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)],
+                                                 names=["print", "starts", "ends", "items"])
+
+    found = docs.select(F.sha2(F.col(text), 256).alias("p"), F.col(text).alias("t")).mapInArrow(
+        run, "print string, starts array<int>, ends array<int>, items array<string>")
+    # Equal texts have equal rows: one of each, which combines before the shuffle.
+    return found.groupBy("print").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"), F.first("items").alias("items"))
+
+
+def _located(docs: DataFrame, text: str, benchmark: DataFrame, n: int, key: str, item_text: str, limit: int,
+             items: bool) -> tuple[DataFrame, Callable]:
+    """``docs`` to be scanned, perhaps with a column of hits, and what finds the hits of a block of them."""
+    found = windows(benchmark, n, key, item_text)
+    found = (found if items else found.withColumn("item", F.lit("any"))).distinct()
     context = benchmark.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("hash"), F.lit(passes))
-    return [context.broadcast(Index((found if passes == 1 else found.where(part == p)).collect())) for p in range(passes)]
+    # One row more than the limit tells whether a single broadcast will do.
+    first = found.limit(limit + 1).collect()
+    if len(first) <= limit:
+        return docs, _OnePass(context.broadcast(Index(first)))
+    del first
+    found = put(found, "windows")
+    passes = -(-found.count() // limit)
+    told = None
+    for p in range(passes):
+        index = context.broadcast(Index(found.where(F.pmod(F.xxhash64("hash"), F.lit(passes)) == p).collect()))
+        hits = put(_pass(docs, text, index), "hits")
+        index.destroy()
+        told = hits if told is None else told.unionByName(hits)
+    name, tag = "_hits", "_print"
+    while name in docs.columns or tag in docs.columns:
+        name, tag = name + "_", tag + "_"
+    whole = told.groupBy(F.col("print").alias(tag)).agg(F.collect_list(F.struct("starts", "ends", "items")).alias(name))
+    return docs.withColumn(tag, F.sha2(F.col(text), 256)).join(whole, tag, "left").drop(tag), _Told(name)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = N, doc: str = "doc_id", key: str = "item_id", text: str = "text",
@@ -91,18 +162,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = N, doc: str = "doc_id",
     words and no hits; items without words have no windows; an item without id is not
     listed, but its windows hit.  Repeated rows are answered each, other columns are not read.
     """
-    indexes = _indexes(benchmark, n, key, text, limit)
+    rows, finder = _located(docs.select(F.col(doc).alias("k"), F.col(text).alias("t")), "t", benchmark, n, key, text, limit, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.blocks(batch, "t"):
                 w = W.words(part.column("t"), W.ALNUM)
-                hit, items = np.zeros(len(w.hashes), bool), defaultdict(set)
-                for index in indexes:
-                    more, held = index.value.scan(w)
-                    hit |= more
-                    for i, names in held.items():
-                        items[i] |= names
+                hit, items = finder(part, w)
                 named = [sorted(x for x in items.get(i, ()) if x is not None) for i in range(len(part))]
                 total = np.r_[0, np.cumsum(hit)][w.bounds]
                 hits = np.diff(total)
@@ -114,7 +180,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = N, doc: str = "doc_id",
                     names=[doc, "n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("k"), F.col(text).alias("t")).mapInArrow(
+    return rows.mapInArrow(
         run, f"{doc} {kind}, n_words long, n_hit long, items array<string>, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -125,18 +191,17 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, most: float = 0.5,
     Documents without hits come back unchanged, with all their columns; ``chars``, where it
     exists, follows the new text.  The same cases as in :func:`mark` hold.
     """
-    indexes = _indexes(benchmark, n, key, text, limit)
+    rows, finder = _located(docs, text, benchmark, n, key, text, limit, False)
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.blocks(batch, text):
                 w = W.words(part.column(text), W.ALNUM)
-                hit = np.zeros(len(w.hashes), bool)
-                for index in indexes:
-                    hit |= index.value.scan(w)[0]
-                yield rewritten(part, w, hit, text, chars, most)
+                hit, _ = finder(part, w)
+                yield rewritten(part.select(columns), w, hit, text, chars, most)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def rewritten(part: pa.RecordBatch, w: W.Words, gone: np.ndarray, text: str, chars: str, most: float) -> pa.RecordBatch:

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folioproof.llm import decontaminate, jaccard, joints, licenses, passages, quality, spots, toxicity, url_rules, warc_zip
 from folioproof.llm.labelled import Sample
@@ -232,6 +233,12 @@ def test_decontaminate(spark):
         assert got[2].items_sha256 == hashlib.sha256(b"").hexdigest()
     left = {r.doc_id: r.text for r in decontaminate.remove(docs, bench).collect()}
     assert 3 not in left and left[4] == "x x" and left[2] == texts[1][1] and left[900] is None and len(left[1].split()) == 70
+    odd = docs.withColumn("_hits", F.lit(1)).withColumn("_print", F.lit("p"))
+    parts = decontaminate.remove(odd, bench, limit=5)
+    assert parts.columns == odd.columns and sorted(map(str, parts.drop("_hits", "_print").collect())) == sorted(map(str, decontaminate.remove(docs, bench).collect()))
+    whole, split = (sorted(map(str, decontaminate.mark(docs, bench, limit=n).collect())) for n in (10 ** 6, 3))
+    assert whole == split
+    assert decontaminate.mark(docs.limit(0), bench, limit=5).collect() == []
     assert decontaminate.mark(docs.limit(0), bench).collect() == [] and decontaminate.mark(docs, bench.limit(0)).where("n_hit > 0").collect() == []
 
 
