@@ -39,20 +39,24 @@ def class_parity(boards: DataFrame, *by: str) -> DataFrame:
                            parity(F.col("square")).cast("int").alias("parity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_cells(counts: DataFrame, domains: dict[str, list]) -> DataFrame:
+def missing_cells(counts: DataFrame, domains: dict[str, list], groups: DataFrame | None = None) -> DataFrame:
     """Cells of the product of small fixed domains that ``counts`` does not hold.
 
     The product is exploded from literals, so it is as large as the domains say and no
-    data takes part in it.
+    data takes part in it.  With ``groups``, distinct rows of further columns of ``counts``
+    (splits, pages), each of them is held against the whole product.
     """
-    cells = counts.sparkSession.range(1).select()
+    cells = counts.sparkSession.range(1).select() if groups is None else groups
+    over = [] if groups is None else groups.columns
     for name, values in domains.items():
         cells = cells.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    return cells.join(counts.where("n > 0").select(*domains).distinct(), list(domains), "left_anti")
+    return cells.join(counts.where("n > 0").select(*over, *domains).distinct(), [*over, *domains], "left_anti")
 
 
-def missing_class_parity(boards: DataFrame) -> DataFrame:
-    return missing_cells(class_parity(boards), {"label": LABELS, "parity": [0, 1]})
+def missing_class_parity(boards: DataFrame, *by: str) -> DataFrame:
+    """(by, label, parity) that no square has; ``by`` columns (a split, a page) give a report for each of their values."""
+    groups = boards.select(*by).distinct() if by else None
+    return missing_cells(class_parity(boards, *by), {"label": LABELS, "parity": [0, 1]}, groups)
 
 
 def repetition(boards: DataFrame) -> DataFrame:

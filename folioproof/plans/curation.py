@@ -561,6 +561,15 @@ def class_parity_gaps(t: Tables) -> DataFrame:
     return V2.missing_cells(V2.class_parity(boards, "tag"), {"tag": list(range(10)), "label": LABELS, "parity": [0, 1]})
 
 
+@query(f"""SELECT g.split, g.page, e.label, e.parity FROM (SELECT DISTINCT vec_id // 4 AS page, ['train', 'dev', 'regression'][CAST((vec_id // 4) % 3 + 1 AS INT)] AS split FROM embeddings) g, ({_domain}) e
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT vec_id // 4 AS page, ['.', 'P', 'N', 'B', 'R', 'Q', 'K', 'p', 'n', 'b', 'r', 'q', 'k'][CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 60) AS INT) % 13 + 1] AS label,
+    ((i - 1) // 8 + (i - 1) % 8) % 2 AS parity FROM embeddings, range(1, 65) r(i)) c WHERE c.page = g.page AND c.label = e.label AND c.parity = e.parity)""")
+def page_parity_missing(t: Tables) -> DataFrame:
+    """What the boards of a page, named with its split, do not show."""
+    split = F.element_at(F.array(F.lit("train"), F.lit("dev"), F.lit("regression")), (F.col("page") % 3 + 1).cast("int"))
+    return V2.missing_class_parity(V.boards(t.embeddings).withColumn("split", split), "split", "page")
+
+
 @query("""SELECT count(*) AS positions, CAST(max(n) AS BIGINT) AS max_repetition, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS repeated_boards
   FROM (SELECT sha, count(*) AS n FROM smp GROUP BY sha)""", "smp")
 def repetition(t: Tables) -> DataFrame:

@@ -360,13 +360,23 @@ def proposal_matches(t: Tables) -> DataFrame:
     return polygon_matches(_flat_boards(t, True), _flat_boards(t, False)).select("page", "p", "t", F.round("iou", 6).alias("iou"))
 
 
-@query(_pairs + """, mt AS (SELECT page, count(*) AS n FROM go WHERE hit GROUP BY page)
+_ends = " + ".join(f"sqrt((p.{x} - t.{x})**2 + (p.{y} - t.{y})**2)" for x in ("x0", "x1") for y in ("y0", "y1"))
+
+
+@query(_pairs + f""", moved AS (SELECT go.page, ({_ends}) / 4 AS px, ({_ends}) / 4 / (((t.x1 - t.x0) + (t.y1 - t.y0)) / 2 / 8) AS sq,
+    len(list_filter(list_zip(list_reverse(q.cls), r.cls), lambda z: z[1] <> z[2])) AS pieces
+    FROM go JOIN pd p ON p.page = go.page AND p.rank = go.p JOIN bx t ON t.page = go.page AND t.number = go.t
+    JOIN qd q ON q.page = go.page AND q.number = go.p JOIN qd r ON r.page = go.page AND r.number = go.t WHERE hit),
+  mt AS (SELECT page, count(*) AS n, avg(px) AS px, avg(sq) AS sq, sum(pieces) AS pieces FROM moved GROUP BY page)
   SELECT page, count(*) AS proposal_boards, count(*) AS review_boards, coalesce(any_value(n), 0) AS matched, count(*) - coalesce(any_value(n), 0) AS false_boards,
-  count(*) - coalesce(any_value(n), 0) AS missed_boards, CAST(page % 60 AS DOUBLE) AS active_seconds FROM bx LEFT JOIN mt USING (page) GROUP BY page""", "pd", "bx")
+  count(*) - coalesce(any_value(n), 0) AS missed_boards, CAST(page % 60 AS DOUBLE) AS active_seconds, round(any_value(px), 6) AS corner_pixels, round(any_value(sq), 6) AS corner_squares,
+  CAST(coalesce(any_value(pieces), 0) AS BIGINT) AS piece_corrections FROM bx LEFT JOIN mt USING (page) GROUP BY page""", "pd", "bx", "qd")
 def assistance_metrics(t: Tables) -> DataFrame:
+    """How much a reviewer had to move and relabel on each page."""
     seconds = V.detector_pages(t.embeddings).select("page", (F.col("page") % 60).cast("double").alias("active_seconds"))
     return assistance(_flat_boards(t, True), _flat_boards(t, False), seconds).select(
-        "page", "proposal_boards", "review_boards", "matched", "false_boards", "missed_boards", "active_seconds")
+        "page", "proposal_boards", "review_boards", "matched", "false_boards", "missed_boards", "active_seconds",
+        F.round("corner_pixels", 6).alias("corner_pixels"), F.round("corner_squares", 6).alias("corner_squares"), "piece_corrections")
 
 
 # --- ledgers and curves -----------------------------------------------------
