@@ -20,7 +20,9 @@ from ..functions import raster as R
 from ..functions.geometry import flat, polygon_area, solve_homographies
 from ..functions.labels import class_id, parity
 
-BATCH_BYTES = 64 * 1024 * 1024
+BATCH_BYTES = 16 * 1024 * 1024
+#: Bytes that a tuple of a few values holds in Python beside its data; a small vector is mostly this.
+ROW_BYTES = 500
 MAX_EDGE, MAX_PIXELS = 8192, 24_000_000  # fixed values: limits of a decoded page
 
 
@@ -50,7 +52,7 @@ def difference_hash(raster: Column, width: Column, height: Column) -> Column:
 
 
 def _emit(rows: DataFrame, kernel: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """Run ``kernel`` on every row and send its tuples back as Arrow batches of about 64 MB.
+    """Run ``kernel`` on every row and send its tuples back as Arrow batches of about BATCH_BYTES in Python.
 
     Values are scalars, bytes, None, or numpy vectors, which become list columns without a
     detour through Python objects.
@@ -76,10 +78,10 @@ def _emit(rows: DataFrame, kernel: Callable[[dict], Iterator[tuple]], schema: st
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 for out in kernel(row):
                     made.append(out)
-                    size += sum(getattr(v, "nbytes", len(v) if isinstance(v, bytes) else 8) for v in out)
-                if size > BATCH_BYTES:
-                    yield pack(made)
-                    made, size = [], 0
+                    size += ROW_BYTES + sum(getattr(v, "nbytes", len(v) if isinstance(v, bytes) else 8) for v in out)
+                    if size > BATCH_BYTES:
+                        yield pack(made)
+                        made, size = [], 0
         if made:
             yield pack(made)
 

@@ -60,12 +60,14 @@ def crops(stripes: DataFrame, areas: DataFrame, tall: int = TALL) -> DataFrame:
     """Rasters of ``areas`` (page, x, y, area_width, area_height, any keys), each made from its own stripes.
 
     Areas must lie inside their pages and be distinct; an area of a page without stripes gives no row.
+    Stripes and areas meet in a sorted join: a plan made before a band is seen takes it for a few
+    bytes and would send all of them through the driver.
     """
     keys = [c for c in areas.columns if c not in ("x", "y", "area_width", "area_height")]
     ints = [F.col(c).cast("int").alias(c) for c in ("x", "y", "area_width", "area_height")]
     wanted = areas.where("area_width > 0 AND area_height > 0").select(*keys, *ints).withColumn(
         "stripe", F.explode(F.expr(f"sequence(y div {tall}, (y + area_height - 1) div {tall})").cast("array<int>")))
-    return _areas(stripes.join(wanted, ["page", "stripe"]), keys, tall)
+    return _areas(stripes.hint("merge").join(wanted, ["page", "stripe"]), keys, tall)
 
 
 def windows(stripes: DataFrame, tile: int = 1024, overlap: int = 128, tall: int = TALL) -> DataFrame:

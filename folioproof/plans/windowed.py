@@ -16,6 +16,15 @@ from . import evaluation  # noqa: F401  (its views are used here)
 from .registry import Tables, query, view
 
 WIDE, HIGH, SHRINK = 200, 150, 8
+#: Pages drawn at once, about 8 MB: a page is a hundred times its boards, so a batch of boards is no measure.
+DRAWN = (8 << 20) // (3 * WIDE * HIGH)
+
+
+def pieces(parts: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The frames cut to ``rows`` rows at most."""
+    for pdf in parts:
+        for i in range(0, len(pdf), rows):
+            yield pdf.iloc[i:i + rows]
 
 
 def drawn(t: Tables) -> DataFrame:
@@ -24,7 +33,7 @@ def drawn(t: Tables) -> DataFrame:
         "number", *[F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1")])).alias("boards"))
 
     def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+        for pdf in pieces(parts, DRAWN):
             made = []
             for boards in pdf["boards"]:
                 page = np.zeros((HIGH, WIDE, 3), dtype=np.uint8)
