@@ -8,7 +8,7 @@ from ..functions.scalar import canonical
 from ..operators import integrity as I, merkle as M
 from ..operators.near_gate import near_blockers
 from ..sources import json_edge, manifests
-from ..sources.digests import file_digests
+from ..sources.digests import file_digests, write_files
 from .curation import validation
 from .near import near_gated
 from .registry import SQL, Tables, query, view, with_views
@@ -29,9 +29,9 @@ def papers(t: Tables) -> DataFrame:
 def shelved(rows: DataFrame, name: str) -> DataFrame:
     """(id, path, length, sha256) of files, one a row of (id, text), written and read again as files."""
     folder = shared_path(rows.sparkSession, name)
-    # The text writer ends each row with a line feed, which the rows bring already.
-    rows.select("id", F.expr("substring(text, 1, length(text) - 1)").alias("value")).write.partitionBy("id").text(folder)
-    return file_digests(rows.sparkSession, folder).select(F.regexp_extract("path", "id=(-?[0-9]+)/", 1).cast("long").alias("id"), "path", "length", "sha256")
+    # A line without text is an empty line.
+    write_files(rows.select("id", F.coalesce("text", F.lit("\n")).alias("content")), folder)
+    return file_digests(rows.sparkSession, folder).select(F.regexp_extract("path", "/id=(-?[0-9]+)$", 1).try_cast("long").alias("id"), "path", "length", "sha256")
 
 
 def originals(t: Tables) -> DataFrame:

@@ -1,11 +1,14 @@
 """What grows with the tables: plans without bands in broadcasts, batches, files and triggers of bounded size."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from folioproof.operators import stripes as S
 from folioproof.plans import windowed
+from folioproof.sources import digests as D
 
 
 def test_bands_are_never_broadcast(spark):
@@ -26,3 +29,19 @@ def test_pages_are_drawn_a_few_at_a_time():
     assert [len(c) for c in cut] == [windowed.DRAWN, windowed.DRAWN, 3, 2]
     assert pd.concat(cut)["page"].tolist() == [*frame["page"], 0, 1]
     assert windowed.DRAWN * windowed.WIDE * windowed.HIGH * 3 <= 8 << 20
+
+
+def test_files_are_written_and_listed_in_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}\n") for i in range(300)] + [(7, "again\n"), (-3, ""), (None, "x")], "id long, content string").repartition(1)
+    folder = str(tmp_path / "files")
+    D.write_files(rows, folder)
+    found = {r.path.rpartition("/id=")[2]: (r.length, r.sha256) for r in D.file_digests(spark, folder, parts=2).collect()}
+    want = {str(i): f"text {i}\n" for i in range(300)} | {"-3": "", "None": "x"}
+    got = found.pop("7")
+    assert got[1] in {hashlib.sha256(x.encode()).hexdigest() for x in ("text 7\nagain\n", "again\ntext 7\n")}
+    del want["7"]
+    assert found == {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in want.items()}
+    sets = D.DigestReader({"path": folder, "parts": "2"}).partitions()
+    # One writing task has FOLDERS folders, which two readers list themselves.
+    assert [len(s.paths) for s in sets] == [0, 0] and [len(s.folders) for s in sets] == [D.FOLDERS // 2] * 2
+    assert [len(s.paths) for s in D.DigestReader({"path": folder, "parts": "50"}).partitions()].count(0) == 0
