@@ -69,8 +69,8 @@ def repetition(boards: DataFrame) -> DataFrame:
 def recipe_counters(recipes: DataFrame) -> DataFrame:
     """All counters of a recipe table as (counter, key, n).
 
-    Squares are aggregated once to (set, effect, label, parity); the coarser counters are
-    sums of that table, not further passes.
+    Boards are costly to make, so their keys and squares are counted in one pass, to (set, effect,
+    label, square); the coarser counters are sums of that table, not further passes.
     """
     effect = F.col("condition.degradation.variant")
     page_keys = F.array(
@@ -84,24 +84,29 @@ def recipe_counters(recipes: DataFrame) -> DataFrame:
                         F.col("c.square_style"), F.col("c.border"), F.col("c.coordinates"),
                         F.col("c.affine.shear_x"), F.col("c.affine.rotation_deg"),
                         F.col("c.perspective").isNotNull(), "b.orientation")
-    board_keys = F.array(
-        F.struct(F.lit("sets").alias("counter"), F.col("b.set").alias("key")),
-        F.struct(F.lit("position_kinds").alias("counter"), F.col("b.position_kind").alias("key")),
-        F.struct(F.lit("joint_conditions").alias("counter"), joint.alias("key")))
-    per_board = boards.select(F.explode(board_keys).alias("e")).groupBy("e.counter", "e.key").agg(
-        F.count(F.lit(1)).alias("n"))
-    fine = class_parity(boards.select(F.col("b.set").alias("set"), "effect", F.col("b.labels").alias("labels")),
-                        "set", "effect")
+
+    def counted(counter: F.Column, key: F.Column, label: F.Column, square: F.Column) -> F.Column:
+        return F.struct(counter.cast("string").alias("counter"), key.cast("string").alias("key"), label.cast("string").alias("label"),
+                        square.cast("int").alias("square"))
+
+    none = F.lit(None)
+    board_keys = F.array(*[counted(F.lit(counter), key, none, none) for counter, key in (
+        ("sets", F.col("b.set")), ("position_kinds", F.col("b.position_kind")), ("joint_conditions", joint))])
+    on_squares = F.transform("b.labels", lambda label, square: counted(none, none, label, square))
+    rows = boards.select(F.col("b.set").alias("set"), "effect", F.explode(F.when(
+        F.col("b.labels").isNull(), board_keys).otherwise(F.concat(board_keys, on_squares))).alias("e"))
+    fine = (rows.groupBy("set", "effect", "e.counter", "e.key", "e.label", "e.square").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("label", canonical_label(F.col("label"))).withColumn("parity", parity(F.col("square")).cast("int")))
 
     def level(counter: str, *keys: str) -> F.Column:
         return F.struct(F.lit(counter).alias("counter"), F.concat_ws(":", *keys).alias("key"))
 
-    squares = fine.select("n", F.explode(F.array(
+    levels = F.when(F.col("counter").isNotNull(), F.array(F.struct("counter", "key"))).otherwise(F.array(
         level("classes", "label"), level("class_background", "label", "parity"),
         level("set_class_background", "set", "label", "parity"),
-        level("set_effect_class_background", "set", "effect", "label", "parity"))).alias("e")).groupBy(
-        "e.counter", "e.key").agg(F.sum("n").alias("n"))
-    return pages.unionByName(per_board).unionByName(squares)
+        level("set_effect_class_background", "set", "effect", "label", "parity")))
+    per_board = fine.select("n", F.explode(levels).alias("e")).groupBy("e.counter", "e.key").agg(F.sum("n").alias("n"))
+    return pages.unionByName(per_board)
 
 
 def recipe_totals(recipes: DataFrame) -> DataFrame:
