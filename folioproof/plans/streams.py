@@ -13,26 +13,41 @@ from ..streaming.upserts import BucketTable, keep_latest
 from .registry import Tables, query, view
 from .session import shared_path
 
-#: Files that a log arrives in, how far rows stray from their order, and the delay that the stream allows.
+#: Triggers that a log arrives in, how far rows stray from their order, and the delay that the stream allows.
 FILES, STRAY, DELAY = 5, 3 * 86400, "4 days"
+#: Rows of a file, so that a trigger brings as many files as its rows keep tasks busy.
+FILE_ROWS = 100_000
 
 
 def arriving(rows: DataFrame, name: str, closing: DataFrame | None = None) -> DataFrame:
-    """``rows`` as a stream of FILES files, one a trigger, in which rows stray up to STRAY seconds from the order of ``at``.
+    """``rows`` as a stream of FILES triggers, in which rows stray up to STRAY seconds from the order of ``at``.
 
-    A last file holds ``closing``, which moves the watermark past all others.
+    Every trigger brings the same number of files, about FILE_ROWS rows each.  The last one holds
+    ``closing``, which moves the watermark past all others.
     """
     spark = rows.sparkSession
     folder = shared_path(spark, name)
+    # The log is worked out once; triggers are cut from what was stored.
+    stored = shared_path(spark, name + "-log")
+    rows.write.parquet(stored)
+    rows = spark.read.schema(rows.schema).parquet(stored)
     strayed = F.unix_seconds("at") + F.pmod(F.xxhash64("id"), F.lit(STRAY))
-    span = rows.agg(F.min(F.unix_seconds("at")).alias("a"), F.max(F.unix_seconds("at")).alias("b")).first()
+    span = rows.agg(F.min(F.unix_seconds("at")).alias("a"), F.max(F.unix_seconds("at")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     first, step = span["a"] or 0, ((span["b"] or 0) - (span["a"] or 0) + STRAY) // FILES + 1
-    # One folder and one write a file: files arrive in the order of writing.
+    files = span["n"] // (FILES * FILE_ROWS) + 1
+
+    def arrive(part: DataFrame, done: int) -> None:
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+        # Spark leaves out files without rows, but a trigger takes as many files as it is told.
+        for _ in range((done + 1) * files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())):
+            part.limit(0).coalesce(1).write.mode("append").parquet(folder)
+
+    # One write a trigger: files arrive in the order of writing.
     for k in range(FILES):
-        rows.where((strayed >= first + k * step) & (strayed < first + (k + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+        arrive(rows.where((strayed >= first + k * step) & (strayed < first + (k + 1) * step)), k)
     if closing is not None:
-        closing.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        arrive(closing, FILES)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def finish(writer: DataStreamWriter) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from .reviews import EMPTY, STATE, judge
 
 _ROW = ["at_us", "id", "revision", "content", "reviewer", "human"]
 WAITING = "at_us long, id long, revision long, content string, reviewer string, human boolean"
+_Waiting = namedtuple("_Waiting", _ROW)
 _OUT = ["sample", "id", "outcome", "revision", "content", "accepted"]
 
 
@@ -57,7 +59,7 @@ class OrderedFold(StatefulProcessor):
             return
         state, out = self._state(), []
         for row in due:
-            state, outcome = judge(state, pd.Series(dict(zip(_ROW, row))))
+            state, outcome = judge(state, _Waiting(*row))
             out.append((key[0], row[1], outcome, state["revision"], state["content"], state["accepted"]))
         self._page.update((state["revision"], state["content"], state["accepted"], state["reviewers"], state["human_reviewers"]))
         if rest:

@@ -23,10 +23,11 @@ class Liveness(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = max(int(pdf["at_ms"].max()) for pdf in rows)
-        if self._last.exists():
-            newest = max(newest, int(self._last.get()[0]))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
+        # A worker has one timer at most, and its time follows from the state: every call less is a round trip less.
+        held = self._last.get()
+        if held is not None:
+            newest = max(newest, int(held[0]))
+            self._handle.deleteTimer(int(held[0]) + self._quiet)
         self._last.update((newest,))
         self._handle.registerTimer(newest + self._quiet)
         yield pd.DataFrame({"worker": [key[0]], "last_ms": [newest], "stale": [False]})
