@@ -6,9 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from folioproof.operators import stripes as S
-from folioproof.plans import windowed
+from folioproof.functions import raster as K
+from folioproof.operators import coverage as C, images as I, recipes as R, stripes as S
+from folioproof.plans import streams, windowed
+from folioproof.plans.session import shared_path
 from folioproof.sources import digests as D
+from folioproof.streaming.ordered import batch_fold, ordered_fold
 
 
 def test_bands_are_never_broadcast(spark):
@@ -45,3 +48,45 @@ def test_files_are_written_and_listed_in_tasks(spark, tmp_path):
     # One writing task has FOLDERS folders, which two readers list themselves.
     assert [len(s.paths) for s in sets] == [0, 0] and [len(s.folders) for s in sets] == [D.FOLDERS // 2] * 2
     assert [len(s.paths) for s in D.DigestReader({"path": folder, "parts": "50"}).partitions()].count(0) == 0
+
+
+def test_triggers_of_several_files_hold_the_order(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    rows = spark.range(150).select((F.col("id") % 3).alias("sample"), F.lit(0).cast("long").alias("revision"), F.lit("c").alias("content"), F.lit("w").alias("reviewer"),
+                                   F.lit(True).alias("human"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 9000).alias("at"), "id")
+    closing = rows.limit(1).withColumn("sample", F.lit(-1).cast("long")).withColumn("at", F.timestamp_seconds(F.lit(1_800_000_000)))
+    source = streams.arriving(rows, "log", closing)
+    out = streams.drained(ordered_fold(source, streams.DELAY), "out").where("sample >= 0").collect()
+    assert sorted(map(str, out)) == sorted(map(str, batch_fold(rows).collect()))
+    assert not any(r.outcome == "late" for r in out)
+    # Four files a trigger, also for the last one, which has one row.
+    files = []
+    monkeypatch.setattr(streams, "shared_path", lambda spark, name: files.append(shared_path(spark, name)) or files[-1])
+    streams.arriving(rows, "log", closing)
+    assert len(spark.read.parquet(files[0]).inputFiles()) == 6 * (150 // (streams.FILES * 10) + 1)
+
+
+def test_boards_are_made_once_for_all_counters(spark):
+    made = R.recipes(spark.range(200).withColumnRenamed("id", "index"), "v1")
+    counters = C.recipe_counters(made)
+    assert counters._jdf.queryExecution().optimizedPlan().toString().count("explode(boards") == 1
+    n = {(r.counter, r.key): r.n for r in counters.collect()}
+    boards = made.select(F.explode("boards").alias("b")).collect()
+    assert sum(v for (c, _), v in n.items() if c == "classes") == 64 * len(boards)
+    assert sum(v for (c, _), v in n.items() if c == "sets") == len(boards) == sum(v for (c, _), v in n.items() if c == "joint_conditions")
+    assert n["classes", "K"] == sum(b.b.labels.count("K") for b in boards)
+
+
+def test_small_vectors_count_with_what_python_holds(spark, monkeypatch):
+    monkeypatch.setattr(I, "BATCH_BYTES", 40 * I.ROW_BYTES)
+    grids = spark.range(4, numPartitions=1).select(F.col("id").alias("page"), F.lit(0).cast("long").alias("number"), F.lit(bytes(64 * 64 * 3)).alias("grid"))
+    tiles = I.inner_tiles(grids, 64, 1, 3)
+    assert tiles.count() == 256
+
+
+def test_letterbox_is_a_blend_of_rows_and_columns():
+    rgb = np.random.default_rng(3).integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    xs = ys = (np.arange(40) + 0.5) / (40 / 7) - 0.5
+    out = K.letterbox(rgb, 40, "bgr")
+    want = K.grid_bilinear(rgb, xs, ys[:28]).astype(np.float32).transpose(2, 0, 1)[::-1]
+    assert out.flags.c_contiguous and (out[:, :28] == want).all() and (out[:, 28:] == K.PAD).all()
