@@ -252,10 +252,12 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_
     tokens = (shared.select("token", "g").unionByName(shared.select("token", F.col("head").alias("g")).distinct())
               .select("token", "g", F.lit(1).alias("counts")).unionByName(crowd.select(own.alias("token"), "g", F.lit(1 << 30).alias("counts"))))
     head_of = shared.select("token", "head").distinct().unionByName(crowd.select(own.alias("token"), F.col("g").alias("head")))
+    # Written first, so that the meeting is a plan of few exchanges: the driver keeps plans and tasks of all stages that run at once.
+    told = put(head_of.join(head_c, "head").select("token", "head_c"), "told")
     # A unit with fewer shared shingles than its smallest partner asks for has no partner left.
-    able = tokens.groupBy("g").agg(F.sum("counts").alias("met"))
+    able = put(tokens.groupBy("g").agg(F.sum("counts").alias("met")), "able")
     named = named.join(able, "g").where(f"met >= 1 + (n * {percent} div 100) div 100").drop("met")
-    at = tokens.join(named, "g").join(head_of.join(head_c, "head").select("token", "head_c"), "token")
+    at = tokens.join(named, "g").join(told, "token")
     outside = at.where("c <> head_c")
     every = at.join(outside.select("token").distinct(), "token", "left_semi").alias("y")
     x = outside.alias("x")
@@ -290,7 +292,7 @@ def _labels(links: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each component only; rows without id stay, repeated rows become one."""
-    found = linked(docs, n, percent, doc, text)
+    found = put(linked(docs, n, percent, doc, text), "found")
     gone = found.where(F.col("component_id") < F.col(doc)).select(doc).distinct()
     left = docs.join(gone, doc, "left_anti")
     again = put(found.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(doc), "again")

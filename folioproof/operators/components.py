@@ -23,12 +23,17 @@ def lineage_edges(sources: DataFrame) -> DataFrame:
         "item", F.concat_ws("=", "e.kind", "e.value").alias("key")).distinct()
 
 
-def _to_smallest(edges: DataFrame, hot_rows: int | None, total: int) -> DataFrame:
-    """(u, v) with the smallest v of u beside each row; hot u stay spread out."""
-    best = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
+def _to_smallest(edges: DataFrame, met: DataFrame, hot_rows: int | None, total: int) -> DataFrame:
+    """(u, v, m) with the smallest v that ``met`` has for u beside each edge; hot u stay spread out."""
+    best = met.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
     return lookup(edges, best, "u", "_rows", hot_rows, total)
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) of each pair of columns of a row; one pass, where a union would read the rows once a pair."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])))
+
+
 def components(members: DataFrame, item: str = "item", key: str = "key",
                hot_rows: int | None = None) -> DataFrame:
     """(item, component): items sharing a key, transitively; the label is the smallest item.
@@ -62,13 +67,12 @@ def linked_components(links: DataFrame, hot_rows: int | None = None) -> DataFram
     # An edge is rewired, never multiplied: rows of a round stay below twice those of the first.
     total = 2 * mark["n"]
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (_to_smallest(both, hot_rows, total).where("v > u")
-                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        downward = large.where("u <> v")
-        small = _to_smallest(downward, hot_rows, total)
-        edges = keep(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        # Over larger neighbours: an edge read from its smaller end is one; over smaller: its end and what it met.
+        upward = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = _to_smallest(upward, _each(edges, ("u", "v"), ("v", "u")), hot_rows, total)
+        downward = large.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = _to_smallest(downward, downward, hot_rows, total)
+        edges = keep(_each(small, ("v", "m"), ("u", "m")).where("u <> v").distinct())
         now = _mark(edges)
         if now == mark:
             return edges
