@@ -452,9 +452,14 @@ def degraded_errors(t: Tables) -> DataFrame:
     return out.select("page", "number", "tiles", F.round("mean_mae", 6).alias("mean_mae"), F.round("max_mae", 6).alias("max_mae"), "passed")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all tasks, whatever files hold them: a small row can become 2 MB of tensor."""
+    return rows.repartition(shuffle_partitions(rows))
+
+
 @query("""SELECT vec_id AS page, 52.0::DOUBLE AS scale, 3 * 416 * 416 AS values, round((floor((greatest(-1, least(1, CAST(embedding[1] AS DOUBLE))) + 1) * 127.5)) / 255, 4) AS first FROM embeddings""")
 def letterboxed_pages(t: Tables) -> DataFrame:
-    out = I.letterboxed(V.rasters(t.embeddings), 416, "bgr", "unit")
+    out = I.letterboxed(V.rasters(_spread(t.embeddings)), 416, "bgr", "unit")
     return out.select("page", "scale", F.size("tensor").cast("long").alias("values"), F.round(F.col("tensor")[0].cast("double"), 4).alias("first"))
 
 

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from folioproof.functions import raster as K
-from folioproof.operators import coverage as C, images as I, recipes as R, stripes as S
-from folioproof.plans import streams, windowed
+from folioproof.llm import jaccard as J
+from folioproof.operators import components as G, coverage as C, images as I, recipes as R, stripes as S
+from folioproof.plans import pages, streams, windowed
+from folioproof.plans.registry import Tables
 from folioproof.plans.session import shared_path
 from folioproof.sources import digests as D
 from folioproof.streaming.ordered import batch_fold, ordered_fold
@@ -90,3 +92,45 @@ def test_letterbox_is_a_blend_of_rows_and_columns():
     out = K.letterbox(rgb, 40, "bgr")
     want = K.grid_bilinear(rgb, xs, ys[:28]).astype(np.float32).transpose(2, 0, 1)[::-1]
     assert out.flags.c_contiguous and (out[:, :28] == want).all() and (out[:, 28:] == K.PAD).all()
+
+
+def _exchanges(monkeypatch, module) -> list[int]:
+    """Gets the shuffles and broadcasts of each plan that ``module`` keeps from now on."""
+    counts, keep = [], module.keep
+    monkeypatch.setattr(module, "keep", lambda df: counts.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")) or keep(df))
+    return counts
+
+
+def test_a_round_of_components_has_few_exchanges(spark, monkeypatch):
+    counts = _exchanges(monkeypatch, G)
+    links = spark.range(1, 40).select(F.col("id").alias("u"), (F.col("id") - F.col("id") % 2 - 1).alias("v")).where("v >= 0")
+    pairs = links.unionByName(spark.createDataFrame([(100, 101), (101, 100), (102, 101), (5, 5), (None, 7)], "u long, v long"))
+    found = {r.u: r.v for r in G.linked_components(pairs).collect()}
+    assert found == {u: 1 for u in range(2, 40)} | {101: 100, 102: 100}
+    assert len(counts) > 2 and max(counts) <= 7
+
+
+def test_near_duplicates_meet_in_a_plan_of_few_exchanges(spark, monkeypatch):
+    counts = _exchanges(monkeypatch, J)
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + j if j != i % 3 else 'x'}" for j in range(40))) for i in range(60)]
+    out = J.linked(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert max(counts) <= 34
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i - i % 3 for i in range(60)}
+
+
+def test_components_of_documents_are_worked_out_once(spark, monkeypatch):
+    names, put = [], J.put
+    monkeypatch.setattr(J, "put", lambda df, name: names.append(name) or put(df, name))
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words"), (3, "other text"), (None, "a b c d e f"), (4, None)]
+    left = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 4]
+    assert names.count("found") == 1
+
+
+def test_tensors_of_one_file_are_made_by_all_tasks(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i / 64).cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = pages.letterboxed_pages(Tables(spark, str(tmp_path)))
+    made = out.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.page for r in made) == list(range(40)) and {r["values"] for r in made} == {3 * 416 * 416}
+    assert len({r.task for r in made}) == 4
