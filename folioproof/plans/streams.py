@@ -11,12 +11,14 @@ from ..streaming.ordered import batch_fold, ordered_fold
 from ..streaming.runs import liveness
 from ..streaming.upserts import BucketTable, keep_latest
 from .registry import Tables, query, view
-from .session import shared_path
+from .session import shared_path, shuffle_partitions
 
 #: Triggers that a log arrives in, how far rows stray from their order, and the delay that the stream allows.
 FILES, STRAY, DELAY = 5, 3 * 86400, "4 days"
 #: Rows of a file, so that a trigger brings as many files as its rows keep tasks busy.
 FILE_ROWS = 100_000
+#: Rows of the whole log in a bucket of pages, which a task holds at a time.
+BUCKET_ROWS = 50_000
 
 
 def arriving(rows: DataFrame, name: str, closing: DataFrame | None = None) -> DataFrame:
@@ -125,7 +127,8 @@ def stream_ordered_reviews(t: Tables) -> DataFrame:
     closing = rows.agg(F.max("at").alias("last")).select(
         F.lit(-1).cast("long").alias("sample"), F.lit(0).cast("long").alias("revision"), F.lit("").alias("content"), F.lit("").alias("reviewer"), F.lit(True).alias("human"),
         F.expr("last + interval 30 days").alias("at"), F.lit(-1).cast("long").alias("id"))
-    out = drained(ordered_fold(arriving(rows, "submissions", closing), DELAY), "ordered-reviews")
+    buckets = max(t.events.count() // BUCKET_ROWS, 2 * shuffle_partitions(rows))
+    out = drained(ordered_fold(arriving(rows, "submissions", closing), DELAY, buckets), "ordered-reviews")
     return out.where("sample >= 0")
 
 
